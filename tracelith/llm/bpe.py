@@ -14,13 +14,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tracelith.llm.arrays import RangeHash, byte_values, chunks, gather, ragged
 from tracelith.llm.run import documents, small_batches
 
 #: The published word pattern and the byte alphabet of byte-level BPE.
@@ -42,21 +43,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows `index` of a ragged array, laid end to end, and where each of them ends."""
-    n = lengths[index]
-    ends = np.cumsum(n)
-    at = np.repeat(starts[index] - (ends - n), n)
-    at += np.arange(len(at))
-    return flat[at], ends
-
-
-def ragged(rows: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = list(rows)
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(lengths) - lengths, lengths
-
-
 def char_classes() -> np.ndarray:
     """Of every code point: SPACE, LETTER, NUMBER or OTHER, as the word pattern tells them apart."""
     every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
@@ -109,30 +95,6 @@ def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, at, word_ends
 
 
-_powers: list[np.ndarray] = []
-
-
-def hash_ranges(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial over random byte values, read off a prefix sum."""
-    n = len(raw) + 1
-    if not _powers or len(_powers[0]) < n:
-        odd = 0x9E3779B97F4A7C15
-        both = [np.full(n, k, np.uint64) for k in (odd, pow(odd, -1, 1 << 64))]
-        _powers[:] = []
-        for x in both:
-            x[0] = 1
-            _powers.append(np.multiply.accumulate(x))
-        _powers.append(np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64))
-    power, back, values = _powers
-    total = np.zeros(n, np.uint64)
-    np.cumsum(values[raw] * power[: n - 1], out=total[1:])
-    out = (total[starts + lengths] - total[starts]) * back[starts]
-    out += lengths.astype(np.uint64)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
-
-
 class Codec:
     """Encodes and decodes by a byte-level BPE file in the tokenizers format, without a tokenizer library."""
 
@@ -259,7 +221,7 @@ class Codec:
         return ids, np.r_[0, ends][word_ends]
 
     def gather_ids(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, first, inverse = np.unique(hash_ranges(raw, starts, lengths), return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(RangeHash(byte_values(raw))(starts, lengths), return_index=True, return_inverse=True)
         if len(self.known) > TABLE_ROWS:
             self.clear()
         at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
@@ -305,19 +267,6 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Runs of whole texts of about `most` characters."""
-    out, n = [], 0
-    for t in texts:
-        out.append(t)
-        n += len(t)
-        if n >= most:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out
-
-
 def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with `ids`, the ids themselves and the decoded text.
 
@@ -330,7 +279,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
         c = codec(path)
         for batch in batches:
             n, shas, decoded_shas, all_ids, all_texts = [], [], [], [], []
-            for texts in chunks(batch.column("text").to_pylist()):
+            for texts in chunks(batch.column("text").to_pylist(), len, CHUNK_CHARS):
                 flat, ends = c.encode(texts)
                 decoded = c.decode(flat, ends)
                 n += np.diff(np.r_[0, ends]).tolist()
