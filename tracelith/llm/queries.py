@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelith.llm import bpe, neardup, substrings
+from tracelith.llm import bpe, fingerprints, neardup, packing, substrings, topk
 from tracelith.llm.run import table
 
 
@@ -15,10 +15,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents")).drop("edited")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,10 +38,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_topk": op3_topk,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_fingerprints": op5_fingerprints,
+        "op7_packing": op7_packing,
         "op8_minhash": op8_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": topk.ORACLE}
