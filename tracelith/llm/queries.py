@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelith.llm import bpe, fingerprints, neardup, packing, substrings, topk
+from tracelith.llm import bpe, fingerprints, neardup, packing, pii, substrings, topk
 from tracelith.llm.run import table
 
 
@@ -27,6 +27,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents")).drop("edited")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": op3_topk,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_fingerprints": op5_fingerprints,
+        "op6_pii": op6_pii,
         "op7_packing": op7_packing,
         "op8_minhash": op8_minhash,
     }
