@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelith.llm import bpe, fingerprints, neardup, packing, pii, substrings, topk
+from tracelith.llm import bpe, fingerprints, neardup, packing, pii, secret_scan, substrings, topk, toxicity
 from tracelith.llm.run import table
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -39,15 +43,21 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_toxicity": op2_toxicity,
         "op3_topk": op3_topk,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_fingerprints": op5_fingerprints,
         "op6_pii": op6_pii,
         "op7_packing": op7_packing,
         "op8_minhash": op8_minhash,
+        "op10_secrets": op10_secrets,
     }
 
 
