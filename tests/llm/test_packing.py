@@ -42,6 +42,8 @@ def test_query(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["alpha", "Beta", "né", "x1"]) for _ in range(r.choice([0, 3, 500, 900, 5000])))) for i in range(60)] + [(7, "dup"), (99, None)]
     got = pack(spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, task int"), PATH, with_ids=True).collect()
+    digests = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    assert sorted((p.doc_id, p.piece, p.ids_crc32) for p in digests.collect()) == sorted((p.doc_id, p.piece, p.ids_crc32) for p in got)
     bins = defaultdict(list)
     for p in got:
         assert p.length == len(p.ids) // 4 and zlib.crc32(p.ids) == p.ids_crc32

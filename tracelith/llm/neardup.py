@@ -26,7 +26,7 @@ from tracelith.llm.components import components
 from tracelith.llm.run import Scratch, documents, small_batches
 from tracelith.llm.substrings import text_chunks, word_hashes
 
-SHINGLE, BANDS, ROWS = 5, 32, 6
+SHINGLE, BANDS, ROWS = 5, 38, 5
 #: A pair at the link threshold agrees in so few of its minima with a chance under 1e-9.
 SIGNATURE_SLACK = 0.17
 BLOCK = 512
@@ -196,3 +196,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = members.join(found, "class_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
     out = sketch.select("doc_id", "n_shingles").join(own, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without near-duplicates: of each component the smallest doc_id stays, as one row."""
+    keep = near_duplicates(docs, percent).filter("kept").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return rows.select(*(F.col(c) if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -230,6 +230,18 @@ def judged(forest: Forest, texts: list[str], paths: list[str]) -> list[list[tupl
     return [[(f, next(votes)) for f in x] for x in found]
 
 
+def secrets_of(found: list[tuple[Finding, float]]) -> list[Finding]:
+    return [f for f, vote in found if vote >= 0.5]
+
+
+def without(text: str, secrets: list[Finding]) -> str:
+    parts, at = [], 0
+    for f in secrets:
+        parts += [text[at : f.start], "[SECRET]"]
+        at = f.stop
+    return "".join([*parts, text[at:]])
+
+
 def scan(docs: DataFrame, findings: list[tuple[Finding, str, int]] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_candidates, n_secrets, spans (start:end of the secrets, in code points), redacted_sha256 and, if asked for, redacted: the text with [SECRET] for each."""
     small_batches(docs.sparkSession, 500)
@@ -245,15 +257,28 @@ def scan(docs: DataFrame, findings: list[tuple[Finding, str, int]] | None = None
             ids, texts, paths = (c.to_pylist() for c in batch.columns)
             out = []
             for doc_id, text, found in zip(ids, texts, judged(model, texts, paths), strict=True):
-                secrets = [f for f, vote in found if vote >= 0.5]
-                parts, at = [], 0
-                for f in secrets:
-                    parts += [text[at : f.start], "[SECRET]"]
-                    at = f.stop
-                redacted = "".join([*parts, text[at:]])
+                secrets = secrets_of(found)
+                redacted = without(text, secrets)
                 out.append((doc_id, len(found), len(secrets), ",".join(f"{f.start}:{f.stop}" for f in secrets), hashlib.sha256(redacted.encode()).hexdigest(), redacted))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: 5 + with_text]
             names = ["doc_id", "n_candidates", "n_secrets", "spans", "redacted_sha256", "redacted"][: 5 + with_text]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     return rows.mapInArrow(run, schema)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, [SECRET] standing for each secret in `text`."""
+    small_batches(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(train(labelled()))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            paths = batch.column("source").to_pylist() if "source" in batch.schema.names else [""] * len(texts)
+            found = judged(shared.value, [t or "" for t in texts], [str(p or "") for p in paths])
+            clean = [t if t is None else without(t, secrets_of(x)) for t, x in zip(texts, found, strict=True)]
+            yield batch.set_column(at, "text", pa.array(clean, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -88,8 +88,6 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = SE
     shared = found.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("seed")
     live = scratch.write(found.join(shared, "seed", "left_semi"), "seeds")
     classes = live.groupBy("seed", "stretch").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times"))
-    # one row for each seed that has several stretches
-    several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("seed")
     classes = scratch.write(classes, "classes")
     first = classes.select("seed", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
     later = live.join(classes.filter("times > 1").drop("times"), ["seed", "stretch"]).filter(here > F.col("first")).select("doc_id", "at", "n")
@@ -103,20 +101,24 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = SE
     return scratch.write(later.union(rest), "repeats")
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with `keep_text`, kept_text: the words not covered by repeated windows."""
+def drop_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with `keep_text`, kept_text: the words not covered by repeated windows.
+
+    carry: further columns of docs that go along with their rows.
+    """
     spark = docs.sparkSession
     small_batches(spark, 500)
     scratch = Scratch(spark)
     texts = documents(docs).select("doc_id", F.encode("text", "UTF-8").alias("text"))
     found = repeats(texts, scratch, window)
     spans = found.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("at", "n"))).alias("spans"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 words = text.split()
                 kept = words
                 if spans:
@@ -129,6 +131,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True)
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *[joined.decode()] * keep_text))
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[i]) for i in range(len(names))], names)
+            kept = [batch.column(f"carry_{i}") for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], types[i]) for i in range(len(names))), *kept], [*names, *carry])
 
-    return texts.join(spans, "doc_id", "left").mapInArrow(run, schema)
+    return rows.join(spans, "doc_id", "left").mapInArrow(run, schema)

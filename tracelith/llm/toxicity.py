@@ -322,6 +322,21 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score under 0.5."""
+    small_batches(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            out = [model.scores(read(part)) if model else np.zeros(len(part)) for part in chunks(texts, len, CHUNK)]
+            yield batch.filter(pa.array(np.concatenate(out) < 0.5 if out else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs, learn(docs, labels))
