@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelith.llm import bpe, fingerprints, neardup, packing, pii, secret_scan, substrings, topk, toxicity
+from tracelith.llm import bpe, fingerprints, neardup, packing, pii, secret_scan, substrings, suffixes, topk, toxicity
 from tracelith.llm.run import table
 
 
@@ -43,6 +43,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_packing": op7_packing,
         "op8_minhash": op8_minhash,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_secrets": op10_secrets,
     }
 
