@@ -7,7 +7,7 @@ STRIDE words after the last, over the whole text; attention pools the states of
 document is as toxic as its most toxic window; training takes each document's most toxic window under
 the model so far, and a random one of the clean documents.
 
-The sample is bounded (TOXIC and CLEAN documents, by a hash of doc_id) and taken on the driver; every
+The sample is bounded (TOXIC and CLEAN documents, by a hash of doc_id) and learnt from in one task; every
 text is scored. Labels, lang, source and doc_id are no inputs. Null, empty and blank texts score 0.
 Repeated rows are scored alike. Labels other than 0 and 1 and labels without a document aren't used;
 a sample without both labels gives the score 0 for all.
@@ -15,6 +15,7 @@ a sample without both labels gives the score 0 for all.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from tracelith.llm.arrays import RangeHash, byte_values, chunks, gather, mix, ra
 from tracelith.llm.run import documents, small_batches
 
 WINDOW, STRIDE = 24, 16
-TOXIC, CLEAN = 1000, 2000
+TOXIC, CLEAN = 700, 1600
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 6, 6, 8, 8
 INPUT = WORD_DIM + 2 * CHAR_DIM
 GRAMS = (3, 4, 5)
@@ -52,7 +53,7 @@ class Text:
     bounds: np.ndarray
     buckets: np.ndarray
     grams: np.ndarray
-    gram_words: np.ndarray
+    gram_words: np.ndarray  # which word an n-gram is of, rising
     char: np.ndarray | None = None  # the character input, once computed
 
 
@@ -71,16 +72,16 @@ def read(texts: list[bytes]) -> Text:
     inner[begin + size - 1] = False
     flat[inner] = spelled
     owner = np.repeat(np.arange(len(size)), size)
+    bucket = lambda h: (mix(h, 9) % np.uint64(BUCKETS)).astype(np.int32)
     grams, gram_words = [], []
     for g in GRAMS:
         whole = RangeHash(byte_values(flat), 7).fixed(g)
         ok = owner[: len(whole)] == owner[g - 1 :][: len(whole)] if len(whole) else np.zeros(0, bool)
-        grams.append(whole[ok])
-        gram_words.append(owner[: len(whole)][ok])
-    bucket = lambda h: (mix(h, 9) % np.uint64(BUCKETS)).astype(np.int64)
+        grams.append(bucket(whole[ok]))
+        gram_words.append(owner[: len(whole)][ok].astype(np.int32))
     g, w = np.concatenate(grams), np.concatenate(gram_words)
     order = np.argsort(w, kind="stable")
-    return Text(words, bounds, bucket(hashes), bucket(g[order]), w[order])
+    return Text(words.astype(np.int32), bounds, bucket(hashes), g[order], w[order])
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,11 +111,13 @@ class Network:
             t.char = np.zeros((len(t.buckets), 2 * CHAR_DIM), np.float32)
             if len(t.grams):
                 first = np.flatnonzero(np.r_[True, t.gram_words[1:] != t.gram_words[:-1]])
-                owner = t.gram_words[first]
-                values = self.char[t.grams]
-                n = np.diff(np.r_[first, len(values)])[:, None]
-                t.char[owner, :CHAR_DIM] = np.add.reduceat(values, first) / n
-                t.char[owner, CHAR_DIM:] = np.maximum.reduceat(values, first)
+                last = np.r_[first[1:], len(t.grams)]
+                for i in range(0, len(first), 20_000):
+                    begin, end = first[i : i + 20_000], last[i : i + 20_000]
+                    values = self.char[t.grams[begin[0] : end[-1]]]
+                    owner = t.gram_words[begin]
+                    t.char[owner, :CHAR_DIM] = np.add.reduceat(values, begin - begin[0]) / (end - begin)[:, None]
+                    t.char[owner, CHAR_DIM:] = np.maximum.reduceat(values, begin - begin[0])
         return np.concatenate([self.word[t.buckets], t.char], 1)
 
     def forward(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -235,24 +238,36 @@ class Network:
         return np.where(np.isinf(out), 0.0, sigmoid(np.where(np.isinf(out), 0.0, out) - self.shift))
 
 
-def log_odds(buckets: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Of each bucket: how much likelier a toxic text holds it."""
-    pairs = np.unique(buckets * len(toxic) + text)
-    bucket, label = pairs // len(toxic), toxic[pairs % len(toxic)]
-    in1, in0 = np.bincount(bucket[label], minlength=BUCKETS), np.bincount(bucket[~label], minlength=BUCKETS)
-    a, b = toxic.sum(), (~toxic).sum()
-    odds = np.log((in1 + 0.5) / (a + 1)) - np.log((in0 + 0.5) / (b + 1))
-    return odds * (in1 + in0) / (in1 + in0 + RARE)
+class Odds:
+    """Log-odds of buckets: how much likelier a toxic text holds one. Texts are counted some at a time."""
+
+    def __init__(self, toxic: np.ndarray):
+        self.toxic, self.counts = toxic, np.zeros((2, BUCKETS))
+
+    def add(self, buckets: np.ndarray, text: np.ndarray) -> None:
+        """Buckets that the texts hold; a text's come all at once."""
+        pairs = np.unique(buckets.astype(np.int64) * len(self.toxic) + text)
+        label = self.toxic[pairs % len(self.toxic)]
+        for y in (0, 1):
+            self.counts[y] += np.bincount(pairs[label == bool(y)] // len(self.toxic), minlength=BUCKETS)
+
+    def values(self) -> np.ndarray:
+        (in0, in1), a, b = self.counts, self.toxic.sum(), (~self.toxic).sum()
+        odds = np.log((in1 + 0.5) / (a + 1)) - np.log((in0 + 0.5) / (b + 1))
+        return odds * (in1 + in0) / (in1 + in0 + RARE)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 2) -> Network:
     net, r, t = Network(seed), np.random.default_rng(seed), read(texts)
-    of_word = np.repeat(np.arange(len(texts)), np.diff(t.bounds))
-    net.word[:, 0] = log_odds(t.buckets[t.words], of_word, toxic) / 4
+    words, grams = Odds(toxic), Odds(toxic)
     starts = np.searchsorted(t.gram_words, np.arange(len(t.buckets) + 1))
-    grams, ends = gather(t.grams, starts[:-1], np.diff(starts), t.words)
-    net.char[:, 0] = log_odds(grams, np.repeat(of_word, np.diff(np.r_[0, ends])), toxic) / 4
-    del grams
+    for i in range(0, len(texts), 32):
+        at = np.arange(t.bounds[i], t.bounds[min(i + 32, len(texts))])
+        text = np.searchsorted(t.bounds, at, "right") - 1
+        words.add(t.buckets[t.words[at]], text)
+        found, ends = gather(t.grams, starts[:-1], np.diff(starts), t.words[at])
+        grams.add(found, np.repeat(text, np.diff(np.r_[0, ends])))
+    net.word[:, 0], net.char[:, 0] = words.values() / 4, grams.values() / 4
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     seen = 0
     weight = np.where(toxic, len(toxic) / (2 * toxic.sum()), len(toxic) / (2 * (~toxic).sum()))
@@ -295,14 +310,21 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network | None:
-    """Trains on labelled documents that aren't held out, `toxic` and `clean` of them at most."""
+    """Trains on labelled documents that aren't held out, `toxic` and `clean` of them at most, in one task; the network comes back."""
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
     label = label.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
     picked = label.filter("label = 1").orderBy(order, "doc_id").limit(toxic).union(label.filter("label = 0").orderBy(order, "doc_id").limit(clean))
-    rows = sorted({(r.doc_id, r.label, r.text) for r in documents(docs).join(F.broadcast(picked), "doc_id").filter("length(text) > 0").collect()})
-    marks = np.array([r[1] == 1 for r in rows], bool)
-    return train([r[2].encode() for r in rows], marks) if marks.any() and not marks.all() else None
+    sample = documents(docs).join(F.broadcast(picked), "doc_id").filter("length(text) > 0").select("doc_id", "label", "text").repartition(1)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+        marks = np.array([r[1] == 1 for r in rows], bool)
+        if marks.any() and not marks.all():
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2].encode() for r in rows], marks))], pa.binary())], ["net"])
+
+    found = sample.mapInArrow(fit, "net binary").collect()
+    return pickle.loads(found[0].net) if found else None
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
