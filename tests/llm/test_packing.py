@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tracelith.llm.packing import WordTable, pack, plan
+from tracelith.llm.packing import closed_ids, pack, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,7 +16,7 @@ def test_ids_match_the_library():
     texts = ["", " ", "It's a TEST's\n\tİstanbul ΑΣ é x́", "a\x0bb\x0cc\xa0d　e", "<|endoftext|>a <|startoftext|> b<|endoftext|>", "\x1c\x85z ́ x"]
     texts += ["".join(chr(r.choice([r.randrange(9, 127), r.randrange(0xA0, 0x3000), r.randrange(0x1F300, 0x1FA00)])) for _ in range(r.randrange(200))) for _ in range(300)]
     library = Tokenizer.from_file(PATH)
-    for t, ids in zip(texts, WordTable(PATH).encode(texts), strict=True):
+    for t, ids in zip(texts, closed_ids(PATH, texts), strict=True):
         assert ids.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], repr(t)
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,14 @@ from tracelith.llm.run import documents, small_batches
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+# Letters and numbers of Unicode versions after 16.0, which the tokenizers' word patterns don't know.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+# Capitals newer than Python's tables, with their small letters.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+NEW_CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+
 NO_RANK = np.int64(1 << 40)
 #: Longer words are merged one by one with a heap: rounds would cost their length squared.
 LONG_WORD = 2000
@@ -50,17 +60,20 @@ def char_classes() -> np.ndarray:
     for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
             out[m.start() : m.end()] = kind
+    for first, last in NEWER:
+        out[first : last + 1] = OTHER
     return out
 
 
 _classes: list[np.ndarray] = []
 
 
-def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes end to end, where each word of WORD_PATTERN starts, and each text's words so far.
+def cut_words(texts: list[str], spaces: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes end to end, where each word of WORD_PATTERN starts, its length, and each text's words so far.
 
     Runs of one class are words; a run takes one space before it; the last of several white spaces
-    before a run stands apart; a contraction ends after its letters.
+    before a run stands apart; a contraction ends after its letters. Without `spaces` no word holds
+    white space, and each number character is a word.
     """
     if not _classes:
         _classes.append(char_classes())
@@ -70,15 +83,18 @@ def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(point)
     text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     if not n:
-        return raw, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     kind = _classes[0][point]
     fresh = np.zeros(n + 1, bool)  # a text starts here
     fresh[np.r_[0, text_ends]] = True
     change = fresh[:-1] | np.r_[True, kind[1:] != kind[:-1]]
     blank = kind == SPACE
-    joins = np.r_[False, (point == 32)[:-1]] & ~fresh[:-1]  # one space before belongs to the run
-    start = change & (blank | ~joins)
-    start |= blank & np.r_[~blank[1:], False] & ~fresh[1:]
+    if spaces:
+        joins = np.r_[False, (point == 32)[:-1]] & ~fresh[:-1]  # one space before belongs to the run
+        start = change & (blank | ~joins)
+        start |= blank & np.r_[~blank[1:], False] & ~fresh[1:]
+    else:
+        start = change | (kind == NUMBER)
     quotes = np.flatnonzero((point == 39) & start)
     for q in quotes[quotes + 1 < n].tolist():
         tail = joined[q + 1 : q + 3]
@@ -88,11 +104,20 @@ def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if q + 1 + size < n and kind[q + 1 + size] == LETTER:
                 start[q + 1 + size] = True
     at = np.flatnonzero(start)
-    word_ends = np.searchsorted(at, text_ends)
+    keep = np.ones(len(at), bool) if spaces else ~blank[at]
+    word_ends = np.searchsorted(at[keep], text_ends)
     if len(raw) != n:
         wide = np.cumsum(1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000), dtype=np.int64)
         at = np.r_[0, wide][at]
-    return raw, at, word_ends
+    return raw, at[keep], np.diff(np.r_[at, len(raw)])[keep], word_ends
+
+
+def lowered(text: str) -> str:
+    """Composed and lower-cased letter by letter: a final sigma is no exception."""
+    if text.isascii():
+        return text.lower()
+    low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return low.translate(CAPITALS) if NEW_CAPITAL.search(low) else low
 
 
 class Codec:
@@ -106,7 +131,10 @@ class Codec:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         alphabet = byte_alphabet()
+        #: With a word-end mark, texts are composed (NFC) and lower-cased, and white space is dropped.
+        self.mark = spec["model"].get("end_of_word_suffix") or ""
         self.byte_ids = np.array([vocab[c] for c in alphabet], np.int64)
+        self.last_ids = np.array([vocab[c + self.mark] for c in alphabet], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
@@ -115,7 +143,9 @@ class Codec:
         raw = {c: bytes([b]) for b, c in enumerate(alphabet)}
         tokens = [b""] * self.size
         for t, i in vocab.items():
-            tokens[i] = b"".join(raw[c] for c in t)
+            if t in self.special:
+                continue
+            tokens[i] = b"".join(raw[c] for c in (t.removesuffix(self.mark) if self.mark else t))
         for t, i in self.special.items():
             tokens[i] = t.encode()
         self.token_bytes = ragged(tokens)
@@ -136,6 +166,9 @@ class Codec:
     def merge_words(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, whose bytes lie end to end, and each word's number of ids."""
         symbols, owner = self.byte_ids[raw], np.repeat(np.arange(len(lengths)), lengths)
+        if self.mark:
+            last = np.cumsum(lengths) - 1
+            symbols[last] = self.last_ids[raw[last]]
         done_ids, done_owner = [], []
         for w in np.flatnonzero(lengths > LONG_WORD):
             ids = self.merge_long(symbols[owner == w].tolist())
@@ -213,10 +246,9 @@ class Codec:
         return np.concatenate(parts), ends[np.cumsum([len(x) for x in pieces])]
 
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw, starts, word_ends = cut_words(texts)
+        raw, starts, lengths, word_ends = cut_words([lowered(t) for t in texts], False) if self.mark else cut_words(texts)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        lengths = np.diff(np.r_[starts, len(raw)])
         ids, ends = self.gather_ids(raw, starts, lengths)
         return ids, np.r_[0, ends][word_ends]
 
@@ -239,8 +271,9 @@ class Codec:
         ids, ends = gather(self.flat, self.starts, self.lengths, self.slots[at][inverse])
         ids = ids.astype(np.int64)
         # two words of one hash would show here: the ids must spell the text
-        if not np.array_equal(gather(*self.token_bytes, ids)[0], raw[starts[0] : starts[-1] + lengths[-1]]):
-            ids, counts = self.merge_words(raw[starts[0] :], lengths)
+        words = gather(raw, starts, lengths, np.arange(len(starts)))[0] if self.mark else raw
+        if not np.array_equal(gather(*self.token_bytes, ids)[0], words):
+            ids, counts = self.merge_words(words, lengths)
             ends = np.cumsum(counts)
         return ids, ends
 

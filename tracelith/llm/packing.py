@@ -22,51 +22,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tracelith.llm.arrays import chunks
+from tracelith.llm.bpe import CHUNK_CHARS, codec
 from tracelith.llm.run import Scratch, documents, small_batches
 
 CAPACITY, CLOSING_ID = 2048, 0
-TABLE_WORDS = 250_000
 
 
-class WordTable:
-    """Ids of stretches between ASCII blanks. The tokenizer drops white space, and no token crosses it.
-
-    Texts are composed (NFC) first by the tokenizer; a blank stops composition too.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.table: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.table) > TABLE_WORDS:
-            self.table = {}
-        words = [t.split() if t.isascii() else split_ascii(t) for t in texts]
-        new = list({w for x in words for w in x if w not in self.table})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.table.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        look = self.table.__getitem__
-        return [np.frombuffer(b"".join(map(look, x)) + b"\0\0\0\0", np.uint32) for x in words]
-
-
-def split_ascii(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
-
-
-_tables: dict[str, WordTable] = {}
-
-
-def word_table(path: str) -> WordTable:
-    """One per worker process and file."""
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
+def closed_ids(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Each text's ids with the closing id."""
+    ids, ends = codec(path).encode(texts)
+    parts = np.split(ids.astype("<u4"), ends[:-1])
+    return [np.r_[p, np.uint32(CLOSING_ID)].astype("<u4") for p in parts]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -74,11 +42,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, task = word_table(path), Counter(), TaskContext.get().partitionId()
+        seen, task = Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            for rows in chunks(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True), lambda r: len(r[1])):
+            for rows in chunks(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True), lambda r: len(r[1]), CHUNK_CHARS):
                 out = []
-                for (doc_id, _), ids in zip(rows, table.encode([t for _, t in rows]), strict=True):
+                for (doc_id, _), ids in zip(rows, closed_ids(path, [t for _, t in rows]), strict=True):
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity].astype("<u4").tobytes()
                         n = len(part) // 4
@@ -194,9 +162,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
                     begin, first, off = slots[int(length[part[0]])]
                     at = np.searchsorted(begin, number[part], "right") - 1
                     sequence[part], offset[part] = first[at] + number[part] - begin[at], off[at]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            columns = [batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)] + [batch.column("ids")] * with_ids
-            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset", *["ids"] * with_ids])
+            names, more = ["doc_id", "piece", "start", "length", "ids_crc32"], ["ids"] * with_ids
+            columns = [*map(batch.column, names), pa.array(sequence), pa.array(offset), *map(batch.column, more)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset", *more])
 
     ranked = cut.join(before, ["length", "task"]).withColumn("rank", F.col("number") + F.col("before"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)
