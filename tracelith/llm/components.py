@@ -25,10 +25,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     Each step is written to the shared folder; the count and hash of the edges tell when nothing changes.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = scratch.write(edges, f"{name}-0"), None
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
+    edges = scratch.write(edges, f"{name}-0")
+    before = state(edges)
     for i in range(1, 200):
         edges = scratch.write(star(star(edges, True), False), f"{name}-{i}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = state(edges)
         scratch.drop(f"{name}-{i - 1}")
         if now == before:
             break

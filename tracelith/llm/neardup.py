@@ -1,9 +1,9 @@
 """Near-duplicate documents by MinHash: universal hash minima, banding, verification, components.
 
 Documents of one shingle set are one class, represented by its smallest doc_id. Representatives that
-share a band meet in a bucket. Each is first held against the bucket's smallest (a star); components
-of the links found then tell which buckets still hold strangers, and only those are compared across
-components, in blocks of bounded size. A candidate pair must agree in its signatures, then its full
+share a band meet in a bucket. Each is first held against one document, the one that is smallest in
+most of its buckets (a star); components of the links found then tell which buckets still hold
+strangers, and only those are compared across components, in blocks of bounded size. A candidate pair must agree in its signatures, then its full
 sets must. Components come from alternating large-star and small-star.
 
 Words are runs without ASCII white space with A-Z lower-cased; a set is the distinct 5-word shingles,
@@ -92,8 +92,8 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (a == b).mean(axis=-1) >= percent / 100 - SIGNATURE_SLACK
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, sketch: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) whose signatures and then whole sets agree."""
+def confirmed(pairs: DataFrame, texts: DataFrame, sketch: DataFrame, percent: int, scratch: Scratch, name: str, many: bool) -> DataFrame:
+    """The pairs (u, v) whose signatures and then whole sets agree. many: they name a share of all documents, so the texts are shuffled."""
     side = lambda d, s: d.select(*(F.col(c).alias(c if c == s else f"{s}_{c}") for c in d.columns)).withColumnRenamed(f"{s}_doc_id", s)
     signed = sketch.select("doc_id", "signature", "n_shingles")
     both = pairs.join(side(signed, "u"), "u").join(side(signed, "v"), "v")
@@ -105,8 +105,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sketch: DataFrame, percent: in
 
     near = F.least("u_n_shingles", "v_n_shingles") * 100 >= F.greatest("u_n_shingles", "v_n_shingles") * percent
     passed = scratch.write(both.filter(near).select("u", "v", "u_signature", "v_signature").mapInArrow(sign, "u long, v long"), f"{name}-signed")
-    ids = passed.select(F.col("u").alias("doc_id")).union(passed.select(F.col("v").alias("doc_id"))).distinct()
-    used = scratch.write(texts.join(ids, "doc_id", "left_semi"), f"{name}-texts")
+    ids = scratch.write(passed.select(F.col("u").alias("doc_id")).union(passed.select(F.col("v").alias("doc_id"))).distinct(), f"{name}-ids")
+    used = scratch.write(texts.join(ids.hint("merge") if many else ids, "doc_id", "left_semi"), f"{name}-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,20 +122,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sketch: DataFrame, percent: in
     return scratch.write(passed.join(side(used, "u"), "u").join(side(used, "v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(check, "u long, v long").distinct(), name)
 
 
-def strangers(live: DataFrame, sketch: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree, found block by block.
+def strangers(live: DataFrame, sketch: DataFrame, found: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs u, v of different components in one bucket whose signatures agree, found block by block.
 
     In each bucket the commonest component is one side with all others, the rest is the other side: the
-    work grows with the rest, not with the square of a bucket.
+    work grows with the rest, not with the square of a bucket. With `most`, a row brings its `most`
+    likeliest partners of a block alone, and of a component in one bucket only: enough to join
+    components that belong together before all their pairs are looked at.
     """
     member = live.join(found.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("common"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    row = member.join(mixed, "bucket").join(sketch.select("doc_id", "signature"), "doc_id")
+    row = member.join(mixed, "bucket")
+    rest = row.filter("component <> common")
+    if most:
+        # of each component beside each common one: the bucket that holds most of it, and its first rows there
+        best = sizes.join(mixed, "bucket").filter("component <> common").groupBy("component", "common").agg(F.max_by("bucket", F.struct("n", "bucket")).alias("bucket"))
+        few = rest.join(best, ["component", "common", "bucket"], "left_semi").groupBy("bucket", "component").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        few = few.select("bucket", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        rest = rest.join(few, ["bucket", "doc_id"], "left_semi")
+        row = row.join(few.select("bucket").distinct(), "bucket", "left_semi")
+    signed = sketch.select("doc_id", "signature")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    every = row.select("bucket", block(F.col("all")).alias("a"), F.explode(F.sequence(F.lit(0), blocks(F.col("all") - F.col("most")) - 1)).alias("b"), F.lit(0).alias("side"), "doc_id", "component", "signature")
-    rest = row.filter("component <> common").select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("all")) - 1)).alias("a"), block(F.col("all") - F.col("most")).alias("b"), F.lit(1).alias("side"), "doc_id", "component", "signature")
+    others = F.col("all") - F.col("most")
+    every = row.join(signed, "doc_id").select("bucket", block(F.col("all")).alias("a"), F.explode(F.sequence(F.lit(0), blocks(others) - 1)).alias("b"), F.lit(0).alias("side"), "doc_id", "component", "signature")
+    rest = rest.join(signed, "doc_id").select("bucket", F.explode(F.sequence(F.lit(0), blocks(F.col("all")) - 1)).alias("a"), block(others).alias("b"), F.lit(1).alias("side"), "doc_id", "component", "signature")
 
     def compare(cell: list[tuple]) -> list[tuple[int, int]]:
         sides = [[r for r in cell if r[3] == s] for s in (0, 1)]
@@ -144,7 +156,10 @@ def strangers(live: DataFrame, sketch: DataFrame, found: DataFrame, percent: int
         (ids, comps, sigs), (ids1, comps1, sigs1) = (([r[4] for r in x], np.array([r[5] for r in x]), np.frombuffer(b"".join(r[6] for r in x), np.uint32).reshape(len(x), -1)) for x in sides)
         out = []
         for i, one in enumerate(sigs1):
-            hit = np.flatnonzero(alike(sigs, one, percent) & (comps != comps1[i]))
+            share = (sigs == one).mean(axis=1)
+            hit = np.flatnonzero((share >= percent / 100 - SIGNATURE_SLACK) & (comps != comps1[i]))
+            if most and len(hit) > most:
+                hit = hit[np.argsort(-share[hit], kind="stable")[:most]]
             out += [(max(ids[j], ids1[i]), min(ids[j], ids1[i])) for j in hit.tolist()]
         return out
 
@@ -174,19 +189,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = documents(docs).select("doc_id", F.encode("text", "UTF-8").alias("text"))
     sketch = scratch.write(sketches(texts), "sketches")
     full = sketch.filter("n_shingles > 0")
-    classes = full.groupBy("one", "two").agg(F.min("doc_id").alias("class_id"))
+    classes = scratch.write(full.groupBy("one", "two").agg(F.min("doc_id").alias("class_id")), "classes")
     members = scratch.write(full.select("doc_id", "one", "two").join(classes, ["one", "two"]).select("doc_id", "class_id").distinct(), "members")
     least = members.filter("doc_id = class_id").select("doc_id")
     first = scratch.write(full.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id", "one", "two"]), "first")
     banded = first.select("doc_id", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("last > hub").drop("last")
     live = scratch.write(banded.join(hubs, "bucket"), "buckets")
-    pairs = live.filter("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
-    links = confirmed(pairs, texts, first, percent, scratch, "links")
-    found = components(links, scratch, "stars")
-    more = scratch.write(strangers(live.select("bucket", "doc_id").distinct(), first, found, percent), "strangers")
-    if not more.isEmpty():
-        links = links.union(confirmed(more, texts, first, percent, scratch, "more"))
+    votes = live.filter("doc_id > hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    pairs = votes.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("v")).select(F.col("doc_id").alias("u"), "v")
+    links = confirmed(pairs, texts, first, percent, scratch, "links", True)
+    held = scratch.write(live.select("bucket", "doc_id").distinct(), "held")
+    # first the likeliest pairs between components, then all that are left: the last round makes it exact
+    for turn, most in enumerate((2, None)):
+        found = components(links, scratch, f"stars-{turn}")
+        more = scratch.write(strangers(held, first, found, percent, most), f"strangers-{turn}")
+        if not more.isEmpty():
+            links = scratch.write(links.union(confirmed(more, texts, first, percent, scratch, f"more-{turn}", False)), f"links-{turn}")
     # rows of one doc_id with different sets tie their classes
     tied = members.filter("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("v"), F.max("class_id").alias("w")).filter("w > v")
