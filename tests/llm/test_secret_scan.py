@@ -20,3 +20,18 @@ def test_texts(spark):
     assert got[6].redacted == "ééé [SECRET] end"
     assert all(got[i].n_secrets == 0 and got[i].redacted == (dict(rows)[i] or "") for i in (2, 3, 4, 5, 7, 8))
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_quoted_names_key_headers_and_bare_keys(spark):
+    bare = "q7ZpX2mK9tR4vB8nL1wY6cD3fG5hJ0sA"
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq" + bare + c for c in "abcdef")
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89A1B2C3D4E5F60718\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, '{"user": "ann", "password": "Hunter2-qwe"}'), (2, "{'api_key': 'zX9$kq27Lm'}"), (3, 'config["secret"] = "Qw8#rT5!zp"'), (4, f"a key:\n{pem}\nafter"), (5, f"siehe {bare} und"), (6, f'("token", "{bare}")'),
+        (7, '{"author": "Sandra Miller", "password": "changeme"}'), (8, '{"password": "your_token_here"}'),
+    ]
+    got = {r.doc_id: r.redacted for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[1] == '{"user": "ann", "password": "[SECRET]"}' and got[2] == "{'api_key': '[SECRET]'}" and got[3] == 'config["secret"] = "[SECRET]"'
+    assert got[4] == "a key:\n[SECRET]\nafter"
+    assert got[5] == "siehe [SECRET] und" and got[6] == '("token", "[SECRET]")'
+    assert got[7] == rows[6][1] and got[8] == rows[7][1]

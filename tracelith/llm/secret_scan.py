@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Candidates are strings of known credential formats, values assigned to a credential's name, and long
-runs of key characters that mix letters with digits. A forest of decision trees, grown in numpy from
+Candidates are strings of known credential formats (private keys with their header lines), values
+assigned to a credential's name, bare or in quotes, and long runs of key characters that mix letters
+with digits. A forest of decision trees, grown in numpy from
 labelled findings, tells secrets from the rest by the candidate's length and character transitions,
 how much of it dictionary words cover, its path, and the words before it.
 
@@ -39,14 +40,14 @@ KNOWN = {
     "stripe": r"\b[sr]k_live_[A-Za-z0-9]{16,250}",
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:\s*\n[A-Za-z][A-Za-z0-9-]{0,60}:[^\n]*(?:\n[ \t]+[^\s][^\n]*)*+)*+[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
 }
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key", "bearer")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "revision", "uuid", "guid", "id", "integrity", "etag", "version", "url", "http", "https", "image", "file", "path", "isbn", "order", "phone", "card", "call")
 DICTIONARY = ("example", "sample", "dummy", "test", "fake", "placeholder", "change", "your", "here", "insert", "default", "admin", "user", "name", "password", "secret", "token", "value", "config", "data", "file", "path", "list", "index", "string", "number", "function", "class", "object", "system", "service", "server", "client", "request", "response", "message", "error", "version", "update", "create", "delete", "handler", "manager", "controller", "the", "and", "for", "with", "tion", "ing", "ment", "able", "xxxx", "abcd", "1234", "0000")
 TEST_PATHS = ("test", "spec", "example", "sample", "fixture", "mock", "doc", "readme")
 
-CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in KNOWN.items()), r"(?P<assigned>(?ai:\b[\w-]*(?:" + "|".join(NAMES) + r")[\w-]{0,30}\s{0,3}[:=]{1,2}>?\s{0,3})[\"']?(?P<value>[^\s\"'<>;,]{6,}))", r"(?P<run>[A-Za-z0-9_+/=-]{20,})"]))
+CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in KNOWN.items()), r"(?P<assigned>(?ai:\b[\w-]*(?:" + "|".join(NAMES) + r")[\w-]{0,30}[\"']?\]?\s{0,3}[:=]{1,2}>?\s{0,3})[\"']?(?P<value>[^\s\"'<>;,]{6,}))", r"(?P<run>[A-Za-z0-9_+/=-]{20,})"]))
 RUN = re.compile(r"(?P<run>[A-Za-z0-9_+/=-]{20,})(?P<value>\\Z\\A)?")
 #: A text without any of these, in lower case, can hold no candidate but a run.
 HINTS = ("passw", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "aiza", "eyj", "-----begin ")
@@ -121,22 +122,33 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
         secret = len(out) % 2
         path, kind, lead = r.choice(paths), "run", r.choice(prose) + " "
         if secret:
-            which = r.randrange(7)
+            which = r.randrange(9)
             if which == 0:
                 kind, s = r.choice([("aws", "AKIA" + pick(upper + digits, 16)), ("github", "ghp_" + pick(every, 36)), ("slack", "xoxb-" + pick(digits, 11) + "-" + pick(every, 24)), ("stripe", "sk_live_" + pick(every, 24)), ("google", "AIza" + pick(every + "-_", 35)), ("jwt", "eyJ" + pick(every, 30) + "." + pick(every, 60) + "." + pick(every + "-_", 43))])
             elif which == 1:
-                kind, s = "pem", "-----BEGIN RSA PRIVATE KEY-----\n" + pick(every + "+/", r.randrange(60, 900)) + "\n-----END RSA PRIVATE KEY-----"
+                kind, s = "pem", "-----BEGIN RSA PRIVATE KEY-----\n" + r.choice(["", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{pick('0123456789ABCDEF', 32)}\n\n"]) + pick(every + "+/", r.randrange(60, 900)) + "\n-----END RSA PRIVATE KEY-----"
             elif which == 2:
-                kind, s = "assigned", pick(every + "!@#$%^&*", r.randrange(8, 24))
+                human = pick(upper, 1) + pick(lower, r.randrange(2, 7)) + pick(digits, r.randrange(1, 4)) + r.choice("-_!@#$%&*.") + pick(lower + digits, r.randrange(2, 6))
+                kind, s = "assigned", r.choice([human, pick(every + "!@#$%^&*", r.randrange(8, 24))])
+            elif which >= 7:
+                # no separator follows a name: bare keys, those beside a credential's name, and hexadecimal ones only beside a name
+                named = r.random() < 0.5
+                alphabet, k = r.choice([(every, r.randrange(20, 64)), (every + "+/", r.choice([32, 40, 44, 64])), (every + "-_", r.randrange(24, 64)), (upper + digits, 32), *[(hexes, 32), (hexes, 64)] * named])
+                s = pick(alphabet, k)
+                if named:
+                    name = r.choice(["", "my_", "db_", "client_"]) + r.choice(NAMES)
+                    lead += r.choice([f'"{name}", "', f"('{name}', '", f'"{name}" "', f"--{name} ", f"{name} ", f'"{name}": ["', f'"{name}": {{"value": "'])
+                else:
+                    lead = r.choice([lead, lead + '"', "", "use ", "key "])
             else:
                 alphabet, k = r.choice([(hexes, 32), (hexes, 40), (hexes, 64), (every, r.randrange(20, 50)), (every + "+/", 40), (upper + digits, 32)])
                 kind, s = "assigned", pick(alphabet, k)
             if kind == "assigned":
                 name = r.choice(NAMES)
-                lead += r.choice(["", "my_", "db_", "client_"]) + r.choice([name, name.upper()]) + r.choice([" = ", "=", ": ", ":", " := "]) + r.choice(["", '"', "'"])
+                lead += r.choice(["", "my_", "db_", "client_"]) + r.choice([name, name.upper()]) + r.choice([" = ", "=", ": ", ":", " := ", '": ', '":', "': ", '"] = ', '" => ']) + r.choice(["", '"', "'"])
                 path = r.choice(paths[:5]) if r.random() < 0.9 else path
         else:
-            which = r.randrange(9)
+            which = r.randrange(10)
             if which == 0:
                 s, lead = pick(hexes, r.choice([32, 40, 64])), lead + r.choice(HARMLESS[:9]) + r.choice([" ", ": ", "=", ' = "'])
             elif which == 1:
@@ -144,7 +156,7 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
                 lead += r.choice(["id ", "uuid: ", 'guid="', "request "])
             elif which == 2:
                 kind, s = "assigned", r.choice(["your_token_here", "changeme", "example-password", "${API_TOKEN}", "os.environ[x]", "test1234", "xxxxxxxxxxxxxxxx", "<password>", "get_secret()", "placeholder123", "dummy_token_value", word() + word(), "password123", "None", "string"])
-                lead += r.choice(NAMES) + r.choice([" = ", "=", ": "]) + r.choice(["", '"'])
+                lead += r.choice(NAMES) + r.choice([" = ", "=", ": ", '": ', "': "]) + r.choice(["", '"'])
             elif which == 3:
                 s = "_".join(word() for _ in range(r.randrange(3, 6))) + pick(digits, r.randrange(1, 4))
             elif which == 4:
@@ -158,7 +170,11 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
             elif which == 7:
                 kind, s = "assigned", " ".join([word() + r.choice(["", ".", pick(digits, 2)])])
                 s = s if len(s) >= 6 else s + "ation"
-                lead += r.choice(NAMES) + ": "
+                s = r.choice([s, s.title()])
+                lead += r.choice([r.choice(NAMES) + ": ", r.choice(["author", "authors", "tokenizer", "secretary"]) + r.choice([": ", '": "', "': '"])])
+            elif which == 8:
+                s = pick(every + "+/", r.choice([43, 64, 86])) + "="
+                lead += r.choice(["integrity sha512-", "integrity sha256-", "checksum ", "etag ", "digest: ", "image "])
             else:
                 s = r.choice([pick("ab-=+_", 30) + "1", "a1" * r.randrange(10, 40), "=" * 20 + "v2" + "=" * 20, pick(digits, 25) + "x", "2024-01-01T00-00-00-000Z" + pick(digits, 3), pick(hexes, 40)])
                 if len(set(s)) > 8:
@@ -197,7 +213,8 @@ class Forest:
                         gini = np.where(ok, k * a * (1 - a) + (len(rows) - k) * b * (1 - b), np.inf)
                         i = int(np.argmin(gini))
                         if best is None or gini[i] < best[0]:
-                            best = (gini[i], int(j), float((v[i] + v[i + 1]) / 2))
+                            middle = float((v[i] + v[i + 1]) / 2)
+                            best = (gini[i], int(j), middle if middle < v[i + 1] else float(v[i]))
             if best is None:
                 nodes[at] = (-1, 0.0, at, at, share)
                 continue
