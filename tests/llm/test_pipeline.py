@@ -46,3 +46,22 @@ def test_stages_against_plain_python(spark, tmp_path):
             assert all(key not in (t or "") for t in after.values())
         before = after
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(before)
+
+
+def test_null_and_shared_ids_stay(spark, tmp_path):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, long = text(40), text(40), text(40), text(40), text(90)
+    passage = " ".join(long.split()[20:70])
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (None, c), (None, d), (None, c + " end"), (None, ""), (None, ""), (3, long), (3, text(4)), (None, text(30) + " " + passage)]
+    docs = spark.createDataFrame([(i, t, "src", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    got = sorted(((x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    none = [t for i, t in got if i is None]
+    # of b and "b end" the smaller doc_id stays; of c and "c end" one
+    assert [t for i, t in got if i == 1] == sorted([a, b]) and not [t for i, t in got if i == 2]
+    assert sorted(t for i, t in got if i == 3) == sorted([long, rows[10][1]])
+    assert none.count("") == 2 and d in none and (c in none) + (c + " end" in none) == 1 and rows[11][1] in none and len(none) == 5
+    kept = spark.createDataFrame([(i, t, "src", len(t)) for i, t in got], docs.schema)
+    out = corpus_pipeline.drop_substrings(spark, kept, "").collect()
+    assert sorted((repr(x.doc_id) for x in out)) == sorted(repr(i) for i, _ in got)
+    assert sum(passage in (x.text or "") for x in out) == 1 and sum(x.text in (a, b, d, rows[10][1], "") for x in out) == 6

@@ -218,8 +218,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, without near-duplicates: of each component the smallest doc_id stays, as one row."""
-    keep = near_duplicates(docs, percent).filter("kept").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return rows.select(*(F.col(c) if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The rows of docs, with all their columns, without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    A document is a doc_id with a text: rows equal in both are one, rows that share a doc_id fall together
+    only where their texts are equal or linked, and rows without a doc_id are documents of their own, after
+    all others; of these, blank ones all stay.
+    """
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0b\f\r]")
+    lone = F.col("doc_id").isNull() & blank
+    keyed = docs.filter(~lone).withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = near_duplicates(keyed.drop("doc_id").withColumnRenamed("_key", "doc_id"), percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("place")).distinct()
+    keep = ids.join(found, "_key").groupBy("component_id").agg(F.min("place").getField("_key").alias("_key")).select("_key")
+    rows = keyed.join(keep, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.filter(lone))
