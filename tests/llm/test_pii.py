@@ -51,3 +51,14 @@ def test_terms_that_reveal_an_entity(spark):
 
 def test_empty(spark):
     assert find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_terms_on_other_lines_and_in_other_documents(spark):
+    rows = [(i, f"Name: Zorblatt\nnote {i}\nEmail: ann@x.org\n" + "far away " * 30 + "zorblatt again") for i in range(8)]
+    rows += [(8, "Zorblatt called")]
+    rows += [(10 + i, f"Name: others\nEmail: nobody, far away again, called note {i}") for i in range(300)]
+    got = {x.doc_id: x for x in find(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert len(got) == len(rows)
+    assert got[3].text == "Name: [TERM]\nnote 3\nEmail: [EMAIL]\n" + "far away " * 30 + "[TERM] again" and got[3].n_term == 2
+    assert got[8].text == "[TERM] called" and got[8].spans == "term:0:8" and got[8].n_email == 0
+    assert got[15].text == dict(rows)[15] and got[15].spans == ""

@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns found; DataFrame functions alone.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. Each distinct value
-found is a protected entity. The terms around an entity (words on its line, within CONTEXT characters)
-are judged by the corpus: of all documents that hold the term, the share that holds it beside this
-entity estimates how surely the term reveals it, and the information gained is
-log2(P(entity | term) / P(entity)) bits. Terms over both disclosure thresholds, seen beside the entity
-in SUPPORT different contexts, become spans too, where they stand beside the entity: sanitised texts
-have `[KIND]` for base spans and `[TERM]` for terms. Counts cover all documents; a document counts once.
+found is a protected entity. The terms of the documents that hold an entity (words outside base spans)
+are judged by the corpus: of all documents that hold the term, the share that holds this entity too
+estimates how surely the term reveals it, and the information gained is
+log2(P(entity | term) / P(entity)) bits. Terms over both disclosure thresholds, held with the entity by
+SUPPORT different texts, become spans wherever they stand outside base spans, in documents without the
+entity too: sanitised texts have `[KIND]` for base spans and `[TERM]` for terms. Counts cover all
+documents; a document counts once.
 
 Offsets are code points, the end exclusive. Null and empty texts have no spans. Repeated rows are
-treated alike and get a row each: one document beside an entity, but each holds its terms.
+treated alike and get a row each: one document with an entity, but each holds its terms.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 BYTE = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Whole words of a text in which GAP stands for each base span; words that a span touches are none.
+GAP = "\x01"
+TERM_OUTSIDE = r"(?<![\p{L}\p{N}\x01])[\p{L}\p{N}]{3,}+(?!\x01)"
 
-CONTEXT = 80
 SUPPORT = 3
 MIN_SHARE = 0.8
 MIN_BITS = 4.0
@@ -54,7 +57,7 @@ def valid(kind: str, found: Column) -> Column:
     }[kind]
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, stop, found): leftmost matches that don't overlap. What lies between comes from a split by the same pattern."""
     none = F.expr("cast(array() as array<struct<start:int,stop:int,found:string>>)")
 
@@ -89,38 +92,56 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """doc, kind, entity, spans, before/after and where `before` starts, one row for each base span."""
-    one = found.select("doc", "text", "spans", F.explode("spans").alias("span"))
-    before = F.substring_index(F.substring("text", F.lit(1), F.col("span.start")), "\n", -1)
-    after = F.substring_index(F.substring("text", F.col("span.stop") + 1, F.lit(CONTEXT + 1)), "\n", 1)
-    # a word that the context's far edge cuts is left out
-    near = one.withColumn("before", F.when(F.length(before) > CONTEXT, F.regexp_replace(F.right(before, F.lit(CONTEXT)), r"^[\p{L}\p{N}]+", "")).otherwise(before))
-    near = near.withColumn("after", F.when(F.length(after) > CONTEXT, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after))
-    entity = F.concat_ws(":", "span.kind", F.when(F.col("span.kind") == "email", F.lower("span.found")).when(F.col("span.kind") == "ip", F.col("span.found")).otherwise(F.regexp_replace("span.found", "[^0-9]", "")))
-    return near.select("doc", "spans", entity.alias("entity"), "before", "after", (F.col("span.start") - F.length("before")).alias("left"), F.col("span.stop").alias("right"))
+def outside(text: Column, spans: Column) -> Column:
+    """The text with GAP for each span."""
+    plain = F.translate(text, GAP, " ")
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    add = lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.array(F.concat(F.substring(plain, acc["at"] + 1, s["start"] - acc["at"]), F.lit(GAP)))).alias("out"))
+    return F.aggregate(order, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(plain, acc["at"] + 1, F.length(text))))
+
+
+def words(text: Column, pattern: str = TERM) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def entity(span: Column) -> Column:
+    kind, found = span["kind"], span["found"]
+    return F.concat_ws(":", kind, F.when(kind == "email", F.lower(found)).when(kind == "ip", found).otherwise(F.regexp_replace(found, "[^0-9]", "")))
 
 
 def disclosing(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, terms: spans of the terms that reveal an entity beside them. found: the documents with base spans."""
-    near = contexts(found)
-    terms = F.concat(
-        F.transform(located(F.col("before"), TERM), lambda t: F.struct((t["start"] + F.col("left")).alias("start"), (t["stop"] + F.col("left")).alias("stop"), F.lower(t["found"]).alias("term"))),
-        F.transform(located(F.col("after"), TERM), lambda t: F.struct((t["start"] + F.col("right")).alias("start"), (t["stop"] + F.col("right")).alias("stop"), F.lower(t["found"]).alias("term"))),
-    )
-    free = F.filter(terms, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    beside = scratch.write(near.select("doc", "entity", F.xxhash64("before", "after").alias("context"), F.explode(free).alias("t")).select("doc", "entity", "context", "t.*"), "beside")
-    pairs = beside.groupBy("term", "entity").agg(F.countDistinct("doc").alias("both"), F.countDistinct("context").alias("support")).filter(F.col("support") >= SUPPORT)
-    pairs = scratch.write(pairs, "pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    holding = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("holding"))
-    entities = beside.groupBy("entity").agg(F.countDistinct("doc").alias("having"))
+    """doc, terms: the terms of each document that reveal an entity, in whichever document. found: the documents with base spans."""
+    free = words(outside(F.col("text"), F.col("spans")), TERM_OUTSIDE)
+    rows = scratch.write(found.select("doc", F.array_distinct(F.transform("spans", entity)).alias("entities"), free.alias("free"), F.array_except(words(F.col("text")), free).alias("within")), "words")
+    one = rows.dropDuplicates(["doc"])
+    having = one.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("having")).filter(F.col("having") >= SUPPORT)
+    having = scratch.write(having, "having")
+    most = having.agg(F.max("having").alias("m")).first().m or 0
+    # words that stand in base spans alone aren't held
+    each = texts.select(F.explode(words(F.col("text"))).alias("term"), F.lit(1).alias("k")).union(rows.select(F.explode("within").alias("term"), F.lit(-1).alias("k")))
+    holding = each.groupBy("term").agg(F.sum("k").alias("holding")).filter((F.col("holding") >= SUPPORT) & (F.col("holding") * MIN_SHARE <= most))
+    holding = scratch.write(holding, "holding")
+    here = one.select("doc", F.explode("free").alias("term")).join(holding, "term")
+    there = one.select("doc", F.explode("entities").alias("entity")).join(having, "entity")
+    both = here.join(there, "doc").filter(F.col("holding") * MIN_SHARE <= F.col("having"))
+    pairs = both.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("doc.h").alias("support"), F.first("holding").alias("holding"), F.first("having").alias("having")).filter(F.col("support") >= SUPPORT)
     everything = texts.select(F.count(F.lit(1)).alias("n")).first().n
     share = F.col("both") / F.col("holding")
     bits = F.log2(share * F.lit(float(everything)) / F.col("having"))
-    strong = pairs.join(holding, "term").join(entities, "entity").filter((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("term", "entity")
-    spans = beside.join(strong, ["term", "entity"]).select("doc", F.struct(F.lit("term").alias("kind"), "start", "stop", F.col("term").alias("found")).alias("span"))
-    return spans.groupBy("doc").agg(F.array_sort(F.collect_set("span")).alias("terms"))
+    strong = scratch.write(pairs.filter((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("term").distinct(), "strong")
+    held = texts.select("doc", F.explode(words(F.col("text"))).alias("term")).join(strong, "term")
+    return held.groupBy("doc").agg(F.collect_set("term").alias("terms"))
+
+
+def term_spans(text: Column, terms: Column, spans: Column) -> Column:
+    """Where the terms, in lower case, stand outside the spans."""
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,stop:int,found:string>>)")
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda w: F.array_contains(terms, F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    places = F.filter(located(text, pattern), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
+    spelled = F.transform(places, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["stop"].alias("stop"), F.lower(t["found"]).alias("found")))
+    return F.when(F.size(F.coalesce(terms, F.array())) == 0, none).when(F.size(forms) == 0, none).otherwise(spelled)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -140,12 +161,12 @@ def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = documents(docs).select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc"))
     found = scratch.write(rows.select("doc", "doc_id", "text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0), "found")
-    distinct = rows.select("doc_id", "text")
-    terms = scratch.write(disclosing(distinct, found.drop("doc_id").dropDuplicates(["doc"]), scratch), "terms")
-    spans = F.concat("spans", F.coalesce("terms", F.expr("cast(array() as array<struct<kind:string,start:int,stop:int,found:string>>)")))
+    terms = scratch.write(disclosing(rows.select("doc", "text"), found, scratch), "terms")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    some = found.join(terms, "doc", "left").withColumn("all", spans)
-    some = some.select("doc_id", *(count(k) for k in KINDS), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.size(F.coalesce("terms", F.array())).cast("long").alias("n_term"), *[sanitised(F.col("text"), F.col("all")).alias("text")] * with_text)
-    none = rows.filter(F.size(base_spans(F.col("text"))) == 0)
-    none = none.select("doc_id", *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_term"), *["text"] * with_text)
-    return some.unionByName(none)
+
+    def told(these: DataFrame) -> DataFrame:
+        marked = these.join(terms, "doc", "left").withColumn("terms", term_spans(F.col("text"), F.col("terms"), F.col("spans"))).withColumn("all", F.concat("spans", "terms"))
+        return marked.select("doc_id", *(count(k) for k in KINDS), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.size("terms").cast("long").alias("n_term"), *[sanitised(F.col("text"), F.col("all")).alias("text")] * with_text)
+
+    none = rows.filter(F.size(base_spans(F.col("text"))) == 0).withColumn("spans", F.expr("cast(array() as array<struct<kind:string,start:int,stop:int,found:string>>)"))
+    return told(found).unionByName(told(none))
