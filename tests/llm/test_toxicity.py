@@ -63,3 +63,13 @@ def test_one_kind_of_label_or_none(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in T.toxicity(docs, none).collect()] == [0.0, 0.0]
     assert T.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_a_passage_counts_wherever_it_stands():
+    net, r = T.Network(4), random.Random(2)
+    passage = " ".join(f"w{r.randrange(10**6)}" for _ in range(T.WINDOW))
+    alone = net.logits(T.read([passage.encode()]))[0][0]
+    for shift in range(20):
+        logits, start, n, _ = net.logits(T.read([("pad " * shift + passage + " pad" * 30).encode()]))
+        assert list(start) == list(range(shift + 31)) and (n == T.WINDOW).all()
+        assert np.abs(logits - alone).min() < 1e-4

@@ -2,8 +2,8 @@
 
 A word goes in as a learned vector of its hash bucket (word input) and the mean and maximum of those
 of its character 3- to 5-grams (character input); the first component of each starts as the log-odds
-of the bucket in the labelled sample. The network reads overlapping windows of WINDOW words, each
-STRIDE words after the last, over the whole text; attention pools the states of both directions. A
+of the bucket in the labelled sample. The network reads all overlapping windows of WINDOW words, one from
+each word on, over the whole text; attention pools the states of both directions. A
 document is as toxic as its most toxic window; training takes each document's most toxic window under
 the model so far, and a random one of the clean documents.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tracelith.llm.arrays import RangeHash, byte_values, chunks, gather, mix, ragged, word_ranges
 from tracelith.llm.run import documents, small_batches
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 1
 TOXIC, CLEAN = 700, 1600
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 6, 6, 8, 8
 INPUT = WORD_DIM + 2 * CHAR_DIM
@@ -85,7 +85,7 @@ def read(texts: list[bytes]) -> Text:
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and text of every window; every word is in one, half of them in two."""
+    """First word, number of words and text of every window; one from each word that WINDOW words follow on."""
     n = np.diff(bounds)
     count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
     text = np.repeat(np.arange(len(n)), count)
