@@ -188,3 +188,19 @@ def test_csv_round_trip_and_service(spark, tmp_path):
         service.question("99")
     export.write_csv(df.limit(0), f"{tmp_path}/empty")
     assert spark.read.csv(f"{tmp_path}/empty", header=True).columns == df.columns
+
+
+def test_registered_draws_are_those_of_the_reference(spark):
+    from tracelith.plans.reference import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    # 50 draws can't give a p-value under 1/51
+    assert QUERIES["length_permutation"](spark, d).first().p_value < 1 / 51
+    assert QUERIES["permutation_null"](spark, d).count() == 500
+    seen = {}
+    real, resample.bootstrap_mean = resample.bootstrap_mean, lambda rows, key, value, draws: seen.update(draws=draws) or real(rows, key, value, 3)
+    try:
+        QUERIES["bootstrap_deltas"](spark, d)
+    finally:
+        resample.bootstrap_mean = real
+    assert seen == {"draws": 10_000}

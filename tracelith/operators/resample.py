@@ -43,10 +43,12 @@ def permutation_null(traces: DataFrame, draws: int = 100, least_questions: int =
 def length_permutation(traces: DataFrame, draws: int = 200, seed: int = 73) -> DataFrame:
     """One row: weighted mean length difference, and the share of draws (plus one) that differ as much."""
     def weighted(rows: DataFrame, *keys: str) -> DataFrame:
-        n = F.size("tokens")
-        per = rows.groupBy(*keys, "question_id").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(F.col("is_correct"), n)) - F.avg(F.when(~F.col("is_correct"), n))).alias("d"))
+        per = rows.groupBy(*keys, "question_id").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(F.col("is_correct"), F.col("length"))) - F.avg(F.when(~F.col("is_correct"), F.col("length")))).alias("d"))
         return per.filter("d is not null").groupBy(*keys).agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("delta"))
 
-    seen = weighted(traces)
-    null = weighted(shuffled_labels(mixed(traces), draws, seed), "draw")
+    # only lengths go along with each draw
+    lengths = traces.withColumn("length", F.size("tokens"))
+    dealt = mixed(lengths).select("trace_id", "question_id", "is_correct", "length", F.array().alias("tokens"))
+    seen = weighted(lengths)
+    null = weighted(shuffled_labels(dealt, draws, seed), "draw")
     return null.withColumnRenamed("delta", "x").crossJoin(F.broadcast(seen)).groupBy("delta").agg(((F.count_if(F.abs("x") >= F.abs("delta")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))

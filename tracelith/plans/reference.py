@@ -536,17 +536,17 @@ def naive_bayes_scores(spark, d):
 def bootstrap_deltas(spark, d):
     """Random by nature: tests look at its limits."""
     rows = within.per_question(within.mixed(event_traces(spark, d)), F.col("tokens"))
-    return rounded(resample.bootstrap_mean(rows, "token", "delta_q", 200))
+    return rounded(resample.bootstrap_mean(rows, "token", "delta_q", 10_000))
 
 
 @query("permutation_null")
 def permutation_null(spark, d):
-    return rounded(resample.permutation_null(event_traces(spark, d), 50))
+    return rounded(resample.permutation_null(event_traces(spark, d), 500))
 
 
 @query("length_permutation")
 def length_permutation(spark, d):
-    return rounded(resample.length_permutation(event_traces(spark, d), 50))
+    return rounded(resample.length_permutation(event_traces(spark, d), 5000))
 
 
 ATTEMPTS = """a AS (SELECT CAST(user_id AS VARCHAR) AS question_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt_index, event_id % 3 <> 0 AS has_clear_answer, value >= 50 AS is_correct FROM events)"""
