@@ -50,3 +50,12 @@ def test_closed_syncmers_and_likeness_against_brute_force(spark):
 
 def test_empty(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_shifted_passage_in_text_without_spaces(spark):
+    r = random.Random(4)
+    for alphabet in ("日本語中文字漢書東京大学生活水火木金土", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        text = "".join(r.choice(alphabet) for _ in range(180))
+        rows = [(3, text), (2, text[:3] + "x" + text[3:]), (1, text[:3] + text[5:])]
+        got = {x.doc_id: x for x in run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[3].near_next > 0.7 and got[2].near_next > 0.7

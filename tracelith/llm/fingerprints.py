@@ -1,7 +1,7 @@
 """Document fingerprints by closed syncmers, in DataFrame functions alone.
 
-A text is a sequence of tokens: runs of non-space characters, cut every few characters from the run's
-start. A stretch of K tokens is chosen where the least of its inner pairs of tokens is its first or
+A text is a sequence of tokens: runs of non-space characters, and in place of a long run the few
+characters from each of its places on, so that a character more or less changes the tokens around it alone. A stretch of K tokens is chosen where the least of its inner pairs of tokens is its first or
 its last pair. That depends on nothing outside the stretch, so equal passages choose equal anchors
 wherever they stand. The fingerprint is the sorted list of the SKETCH least hashes among the distinct
 chosen stretches; it holds all of them where there are no more. Likeness is the share of common ones
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tracelith.llm.run import documents
 
-TOKEN = r"\S{1,4}"
+#: Group 1: a whole run of at most 16 characters, or up to four characters from each place of a longer one.
+TOKEN = r"(?=((?<!\S)\S{1,16}(?!\S)|\S{1,4}))(?:(?<!\S)\S{1,16}(?!\S)|\S)"
 K = 5
 SKETCH = 128
 ROWS_IN_RANGE, MOST_RANGES = 2000, 8192
@@ -36,7 +37,7 @@ def let(value: Column, body) -> Column:
 
 def syncmers(text: Column) -> Column:
     """Hashes of the chosen stretches in order of the text, as ints."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.xxhash64(t))
     whole = lambda h: F.array(F.hash(h))
 
     def chosen(h: Column) -> Column:
