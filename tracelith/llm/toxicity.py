@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word goes in as a learned vector of its hash bucket (word input) and the mean and maximum of those
-of its character 3- to 5-grams (character input); the first component of each starts as the log-odds
+of fixed ones of its character 3- to 5-grams (character input); the first component of each starts as the log-odds
 of the bucket in the labelled sample. The network reads all overlapping windows of WINDOW words, one from
 each word on, over the whole text; attention pools the states of both directions. A
 document is as toxic as its most toxic window; training takes each document's most toxic window under
