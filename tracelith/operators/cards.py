@@ -59,18 +59,18 @@ def families(cards: DataFrame, k: int = 15) -> DataFrame:
 
 def neighbours(traces: DataFrame, cards: DataFrame, low: int = 2, high: int = 3, k: int = 5) -> DataFrame:
     """Cards that share most traces with a card: overlap over the card's own traces; ties to the later name."""
-    held = facts(traces, ngrams(F.col("tokens"), low, high), "trace_id").join(F.broadcast(cards.select("motif")), "motif").withColumn("motif", F.array_join("motif", " "))
+    held = facts(traces, ngrams(F.col("tokens"), low, high), "trace_id").join(cards.select("motif"), "motif").withColumn("motif", F.array_join("motif", " "))
     own = held.groupBy("motif").agg(F.count(F.lit(1)).alias("n"))
     # pairs are made within a trace, whose motifs its length bounds, and counted at once
     pairs = held.groupBy("trace_id").agg(F.collect_list("motif").alias("m")).select(F.explode("m").alias("motif"), "m").select("motif", F.explode("m").alias("other")).filter("motif <> other")
-    rate = pairs.groupBy("motif", "other").agg(F.count(F.lit(1)).alias("overlap")).join(F.broadcast(own), "motif").withColumn("overlap_rate", F.col("overlap") / F.col("n"))
+    rate = pairs.groupBy("motif", "other").agg(F.count(F.lit(1)).alias("overlap")).join(own, "motif").withColumn("overlap_rate", F.col("overlap") / F.col("n"))
     best = Window.partitionBy("motif").orderBy(F.desc("overlap_rate"), F.desc("other"))
     return rate.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("motif", "rank", "other", "overlap", "overlap_rate")
 
 
 def coverage(traces: DataFrame, cards: DataFrame) -> DataFrame:
     """Traces and questions that hold a chosen card; contiguous motifs of one to three tokens are looked at."""
-    held = facts(traces, ngrams(F.col("tokens"), 1, 3), "trace_id", "question_id").join(F.broadcast(cards.select("motif")), "motif", "left_semi")
+    held = facts(traces, ngrams(F.col("tokens"), 1, 3), "trace_id", "question_id").join(cards.select("motif"), "motif", "left_semi")
     found = held.agg(F.count_distinct("trace_id").alias("covered_traces"), F.count_distinct("question_id").alias("covered_questions"))
     every = traces.agg(F.count(F.lit(1)).alias("traces"), F.count_distinct("question_id").alias("questions"))
     out = found.crossJoin(every)
@@ -92,17 +92,23 @@ def local_motifs(traces: DataFrame, low: int = 1, high: int = 3, least_class: in
 
 
 def exact_difference(s: Column, f: Column, n: Column, m: Column) -> Column:
-    """Share of the deals of s + f marks to n and m rows whose rates differ by as much as s / n and f / m do."""
+    """Share of the deals of s + f marks to n and m rows whose rates differ by as much as s / n and f / m do: two tails."""
+    s, f, n, m = (x.cast("long") for x in (s, f, n, m))
     k, total = s + f, n + m
     fixed = stats.ln_factorial(n) + stats.ln_factorial(m) + stats.ln_factorial(k) + stats.ln_factorial(total - k) - stats.ln_factorial(total)
-    row = F.struct(fixed.alias("fixed"), k.alias("k"), n.alias("n"), m.alias("m"), F.abs(s * m - f * n).alias("seen"), F.greatest(F.lit(0), k - m).alias("low"), F.least(n, k).alias("high"))
+    spread = F.sqrt(n / total * k * m / total * (total - k) / F.greatest(total - 1, F.lit(1)))
+    seen = F.abs(s * m - f * n)
+    # x marks for n: x * m - (k - x) * n is x * total - k * n
+    up, down = F.ceil((k * n + seen) / total), F.floor((k * n - seen) / total)
+    row = F.struct(*(x.alias(c) for c, x in {"fixed": fixed, "k": k, "n": n, "m": m, "seen": seen, "up": up, "down": down, "low": F.greatest(F.lit(0).cast("long"), k - m), "high": F.least(n, k), "spread": spread}.items()))
 
     def body(t: Column) -> Column:
-        far = F.filter(F.sequence(t["low"], t["high"]), lambda x: F.abs(x * t["m"] - (t["k"] - x) * t["n"]) >= t["seen"])
-        p = F.transform(far, lambda x: F.exp(t["fixed"] - stats.ln_factorial(x) - stats.ln_factorial(t["n"] - x) - stats.ln_factorial(t["k"] - x) - stats.ln_factorial(t["m"] - t["k"] + x)))
-        return F.least(F.lit(1.0), F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
+        log_p = lambda x: t["fixed"] - stats.ln_factorial(x) - stats.ln_factorial(t["n"] - x) - stats.ln_factorial(t["k"] - x) - stats.ln_factorial(t["m"] - t["k"] + x)
+        right = F.when(t["up"] > t["high"], F.lit(0.0)).otherwise(stats.tail(log_p, t["up"], t["high"], t["spread"]))
+        left = F.when(t["down"] < t["low"], F.lit(0.0)).otherwise(stats.tail(log_p, t["down"], t["low"], t["spread"]))
+        return F.when(t["seen"] == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), left + right))
 
-    return F.transform(F.array(row), body)[0]
+    return stats.let(row, body)
 
 
 def local_lists(local: DataFrame, k: int = 10, q: float = 0.10) -> DataFrame:
@@ -123,5 +129,5 @@ def shared_lists(local: DataFrame, other: DataFrame, k: int = 10) -> DataFrame:
 
 def visible_globals(traces: DataFrame, global_motifs: DataFrame, k: int = 5) -> DataFrame:
     """For each question the first k global motifs (motif, place) that one of its traces holds."""
-    held = facts(traces, ngrams(F.col("tokens"), 1, 5), "question_id").join(F.broadcast(global_motifs), "motif").groupBy("question_id", "motif", "place").agg(F.count(F.lit(1)).alias("traces"))
+    held = facts(traces, ngrams(F.col("tokens"), 1, 5), "question_id").join(global_motifs, "motif").groupBy("question_id", "motif", "place").agg(F.count(F.lit(1)).alias("traces"))
     return held.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("place", name("motif")))).filter(F.col("rank") <= k)

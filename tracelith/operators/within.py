@@ -52,7 +52,7 @@ def token_deltas(traces: DataFrame, features: Column | None = None, least_questi
 def with_residuals(df: DataFrame, x: str, y: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds y less its least-squares line on x; less its mean where x doesn't vary."""
     fit = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.avg(y).alias("_y"), F.avg(x).alias("_x"), F.max(x).alias("_hi"), F.min(x).alias("_lo"))
-    out = df.join(F.broadcast(fit), list(keys)) if keys else df.crossJoin(F.broadcast(fit))
+    out = df.join(fit, list(keys)) if keys else df.crossJoin(F.broadcast(fit))
     slope = F.when(F.col("_hi") - F.col("_lo") > stats.EPSILON, F.coalesce("_b", F.lit(0.0))).otherwise(0.0)
     return out.withColumn(name, F.col(y) - F.col("_y") - slope * (F.col(x) - F.col("_x"))).drop("_b", "_y", "_x", "_hi", "_lo")
 
@@ -83,7 +83,7 @@ def position_deltas(traces: DataFrame, least_questions: int = 10) -> DataFrame:
     plain = token_deltas(traces, least_questions=least_questions).select(F.col("token").alias("base"), F.col("mean_delta").alias("collapsed_delta"))
     placed = token_deltas(traces, position_bins(F.col("tokens")), least_questions)
     placed = placed.withColumn("base", F.regexp_extract("token", r"^(.*)@@[^@]*$", 1)).withColumn("bin", F.regexp_extract("token", r"@@([^@]*)$", 1))
-    out = placed.join(F.broadcast(plain), "base", "left").fillna(0.0, ["collapsed_delta"])
+    out = placed.join(plain, "base", "left").fillna(0.0, ["collapsed_delta"])
     return out.withColumn("lift_ratio", F.when(F.col("collapsed_delta") == 0, F.lit(0.0)).otherwise(F.abs("mean_delta") / F.abs("collapsed_delta")))
 
 
