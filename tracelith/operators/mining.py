@@ -6,13 +6,13 @@ and counted by class in one aggregation; nothing is joined trace by trace.
 
 from __future__ import annotations
 
-
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelith.functions import stats
 from tracelith.functions.tokens import holds_subsequence, let, ngrams
+from tracelith.sources.scratch import Scratch
 
 SEPARATOR = "|"
 
@@ -80,15 +80,35 @@ def mine_skipgrams(traces: DataFrame, low: int = 2, high: int = 4, gap: int = 2,
     return scored(counts, traces, tests)
 
 
-def frequent(traces: DataFrame, least: int, low: int, high: int, backend: str = "auto") -> DataFrame:
+def grown(traces: DataFrame, low: int, high: int, least: int, in_a_class: bool = False) -> DataFrame:
+    """motif, success_count, failure_count of the subsequences with any gaps in `least` traces at least, or in so many of one class.
+
+    Frequent prefixes grow by one token at a time: each trace keeps what follows a prefix's first place, and only
+    what grows out of frequent prefixes is made. Levels are written once; each is counted and grown from.
+    """
+    scratch, out = Scratch(traces.sparkSession), None
+    s, f = F.col("success_count"), F.col("failure_count")
+    often = (F.greatest(s, f) if in_a_class else s + f) >= least
+    level = traces.select("is_correct", F.expr("cast(array() as array<string>)").alias("motif"), F.col("tokens").alias("rest"))
+    for n in range(1, high + 1):
+        grow = F.transform(F.array_distinct("rest"), lambda t: F.struct(t.alias("token"), F.slice("rest", F.array_position("rest", t).cast("int") + 1, F.size("rest")).alias("after")))
+        level = level.filter(F.size("rest") > 0).select("is_correct", "motif", F.explode(grow).alias("g")).select("is_correct", F.concat("motif", F.array("g.token")).alias("motif"), F.col("g.after").alias("rest"))
+        level = scratch.write(level, f"level-{n}")
+        counts = scratch.write(class_counts(level, "motif").filter(often), f"counts-{n}")
+        level = level.join(counts.select("motif"), "motif", "left_semi")
+        if n >= low:
+            out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def frequent(traces: DataFrame, least: int, low: int, high: int, backend: str = "grow") -> DataFrame:
     """motif, count of the subsequences with any gaps in `least` traces at least.
 
-    backend: `enumerate` lists each trace's subsequences, `prefixspan` grows frequent prefixes, which
-    long traces need; `auto` enumerates if no trace is longer than 16 tokens.
+    backend: `grow` grows frequent prefixes level by level, `prefixspan` leaves that to Spark's miner, and
+    `enumerate` lists each trace's subsequences, whose number grows with the power `high` of its length.
     """
-    if backend == "auto":
-        longest = traces.agg(F.max(F.size("tokens"))).first()[0] or 0
-        backend = "enumerate" if longest <= 16 else "prefixspan"
+    if backend == "grow":
+        return grown(traces, low, high, least).select("motif", (F.col("success_count") + F.col("failure_count")).alias("count"))
     if backend == "enumerate":
         return facts(traces, skipgrams(F.col("tokens"), low, high, None)).groupBy("motif").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
     n = traces.count()
@@ -98,14 +118,10 @@ def frequent(traces: DataFrame, least: int, low: int, high: int, backend: str =
     return found.select(F.flatten("sequence").alias("motif"), F.col("freq").alias("count")).filter((F.size("motif") >= low) & (F.col("count") >= least))
 
 
-def subsequence_counts(traces: DataFrame, low: int, high: int) -> DataFrame:
-    return class_counts(facts(traces, skipgrams(F.col("tokens"), low, high, None), "is_correct"), "motif")
-
-
 def pattern_table(traces: DataFrame, low: int = 1, high: int = 4, least: int = 5, tests: bool = True) -> DataFrame:
     """Subsequences frequent in a class; a class under the threshold counts as 0."""
     keep = lambda c: F.when(F.col(c) >= least, F.col(c)).otherwise(F.lit(0)).cast("long")
-    counts = subsequence_counts(traces, low, high).withColumns({"success_count": keep("success_count"), "failure_count": keep("failure_count")})
+    counts = grown(traces, low, high, least, in_a_class=True).withColumns({"success_count": keep("success_count"), "failure_count": keep("failure_count")})
     return scored(counts.filter(F.col("success_count") + F.col("failure_count") > 0), traces, tests)
 
 
@@ -133,7 +149,7 @@ def mine_rules(traces: DataFrame, least: int = 5, high: int = 4, candidates: int
     A rule holds where its two sides joined are a subsequence, so its counts are those of the joined
     pattern: rules come from splitting frequent patterns, not from pairing patterns on every trace.
     """
-    counts = subsequence_counts(traces, 1, high).withColumn("count", F.col("success_count") + F.col("failure_count")).filter(F.col("count") >= least)
+    counts = grown(traces, 1, high, least).withColumn("count", F.col("success_count") + F.col("failure_count"))
     top = counts.orderBy(F.desc("count"), name("motif")).limit(candidates)
     side = lambda c, s: F.broadcast(top.select(F.col("motif").alias(c), F.col("success_count").alias(f"{s}_success"), F.col("failure_count").alias(f"{s}_failure")))
     whole = counts.drop("count").filter(F.size("motif") >= 2).withColumn("cut", F.explode(F.sequence(F.lit(1), F.size("motif") - 1)))
