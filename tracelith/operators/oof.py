@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 from tracelith.functions import stats
 from tracelith.functions.tokens import first_action, prefix, qualifier_words
 from tracelith.operators import evaluate
+from tracelith.operators.signals import shuffled_prefix, trajectory
+from tracelith.operators.summaries import nonzero
 
 STRENGTHS = (0.01, 0.1, 1.0, 10.0)
 MODELS = ("M0", "M1", "M2", "M3")
+FIRST_MODELS = ("FA0", "FA1", "FA2", "FA3")
 
 
 def columns(traces: DataFrame) -> DataFrame:
     """length, first (the first action, or token) and label, beside tokens and question_id."""
     first = F.coalesce(F.nullif(first_action(F.col("tokens")), F.lit("__NO_FIRST_ACTION__")), F.get("tokens", F.lit(0)), F.lit(""))
-    return traces.withColumn("length", F.size("tokens").cast("double")).withColumn("first", first).withColumn("words", qualifier_words(F.col("first"))).withColumn("label", F.col("is_correct").cast("double"))
+    return traces.withColumn("length", F.size("tokens").cast("double")).withColumn("first", first).withColumn("words", F.filter(F.split(qualifier_words(F.col("first")), " "), lambda w: w != "")).withColumn("label", F.col("is_correct").cast("double")).withColumn("has_action", (F.coalesce(F.nullif(first_action(F.col("tokens")), F.lit("__NO_FIRST_ACTION__")), F.lit("")) != "").cast("double"))
 
 
 def stages(model: str, strength: float, n: int, bigrams: bool = False) -> Pipeline:
@@ -44,14 +47,21 @@ def stages(model: str, strength: float, n: int, bigrams: bool = False) -> Pipeli
             inputs.append("pair_bag")
         parts += [StringIndexer(inputCol="question_id", outputCol="question_i", handleInvalid="keep"), OneHotEncoder(inputCol="question_i", outputCol="question_v")]
         inputs.append("question_v")
-    if model == "M3":
+    if model == "FA1":
+        inputs.append("has_action")
+    if model == "FA3":
+        parts.append(CountVectorizer(inputCol="words", outputCol="word_bag", minDF=1.0))
+        inputs.append("word_bag")
+    if model in ("M3", "FA2"):
         parts += [StringIndexer(inputCol="first", outputCol="first_i", handleInvalid="keep"), OneHotEncoder(inputCol="first_i", outputCol="first_v")]
         inputs.append("first_v")
-    parts += [VectorAssembler(inputCols=inputs, outputCol="features"), LogisticRegression(regParam=1.0 / (strength * max(1, n)), elasticNetParam=0.0 if model == "M1" else 1.0, standardization=False, maxIter=50)]
+    parts += [VectorAssembler(inputCols=inputs, outputCol="features"), LogisticRegression(regParam=1.0 / (strength * max(1, n)), elasticNetParam=0.0 if model in ("M1", "FA1") else 1.0, standardization=False, maxIter=50)]
     return Pipeline(stages=parts)
 
 
 def fit_score(train: DataFrame, test: DataFrame, model: str, strength: float, bigrams: bool = False) -> DataFrame:
+    if model == "FA0" or (model == "FA3" and train.filter(F.size("words") > 0).isEmpty()):
+        return test.crossJoin(F.broadcast(train.agg(F.avg("label").alias("score"))))
     out = stages(model, strength, train.count(), bigrams).fit(train).transform(test)
     return out.withColumn("score", vector_to_array("probability")[1])
 
@@ -71,8 +81,10 @@ def chosen_strength(spark: SparkSession, train: DataFrame, model: str, strengths
     return best[1]
 
 
-def out_of_fold(spark: SparkSession, traces: DataFrame, model: str, folds: int = 5, inner: int = 3, strengths: Iterable[float] = (1.0,), shuffled: bool = False, seed: int = 73) -> DataFrame:
-    """trace_id, question_id, is_correct, fold, score of each trace by a model of the other folds. shuffled: labels dealt anew first."""
+def out_of_fold(spark: SparkSession, traces: DataFrame, model: str, folds: int = 5, inner: int = 3, strengths: Iterable[float] = (1.0,), shuffled: bool = False, reordered: bool = False, seed: int = 73) -> DataFrame:
+    """trace_id, question_id, is_correct, fold, score of each trace by a model of the other folds. Controls: labels dealt anew (shuffled), tokens in random order (reordered)."""
+    if reordered:
+        traces = traces.withColumn("tokens", shuffled_prefix(F.col("tokens"), F.col("trace_id"), seed))
     if shuffled:
         from tracelith.operators.resample import shuffled_labels
 
@@ -99,3 +111,28 @@ def report(spark: SparkSession, traces: DataFrame, models: Iterable[str] = MODEL
         row = row.withColumn("model", F.lit(m)).withColumn("fraction", F.lit(fraction))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def coefficients(train: DataFrame, model: str = "M2", strength: float = 1.0) -> DataFrame:
+    """feature, coefficient (not zero) of a model of all rows; features are named by their stage's vocabulary."""
+    spark = train.sparkSession
+    rows = columns(train)
+    fitted = stages(model, strength, rows.count()).fit(rows)
+    attrs = fitted.transform(rows.limit(1)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    names = {a["idx"]: a.get("name", str(a["idx"])) for kind in attrs.values() for a in kind}
+    bag = next((m.vocabulary for m in fitted.stages if hasattr(m, "vocabulary")), [])
+    # a bag's attributes are numbered, not named
+    spelled = {i: f"bag_{n[4:]}:{bag[int(n[4:])]}" if n.startswith("bag_") and n[4:].isdigit() else n for i, n in names.items()}
+    values = fitted.stages[-1].coefficients.toArray().tolist()
+    made = spark.createDataFrame([(spelled.get(i, str(i)), float(v)) for i, v in enumerate(values)], "feature string, coefficient double")
+    return nonzero(made)
+
+
+def prefix_report(spark: SparkSession, traces: DataFrame, models: Iterable[str] = ("M1", "M2"), fractions: Iterable[float] = (0.25, 0.5, 0.75, 1.0), **options) -> tuple[DataFrame, DataFrame]:
+    """The report for first parts of the traces, as they are and with their tokens in random order; and each model's slope over the fractions and whether its AUC never falls."""
+    parts = None
+    for f in fractions:
+        for control in (False, True):
+            part = report(spark, traces, models, f, reordered=control, **options).withColumn("reordered", F.lit(control))
+            parts = part if parts is None else parts.unionByName(part)
+    return parts, trajectory(parts, "fraction", "auc", ("model", "reordered"))
