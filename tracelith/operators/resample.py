@@ -52,3 +52,48 @@ def length_permutation(traces: DataFrame, draws: int = 200, seed: int = 73) -> D
     seen = weighted(lengths)
     null = weighted(shuffled_labels(dealt, draws, seed), "draw")
     return null.withColumnRenamed("delta", "x").crossJoin(F.broadcast(seen)).groupBy("delta").agg(((F.count_if(F.abs("x") >= F.abs("delta")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+
+
+def bootstrap_lifts(lifts: DataFrame, threshold: float = 1.5, draws: int = 10_000, seed: int = 73) -> DataFrame:
+    """One row over tokens (token, lift_ratio, max_position_abs, collapsed_abs): the share at the threshold or above and the mean excess over it, with 95 % limits.
+
+    Share and excess of a draw come from the same tokens. Tokens are an array in one row: a vocabulary, not a corpus.
+    """
+    pair = F.struct("token", (F.col("lift_ratio") >= threshold).cast("double").alias("hit"), (F.col("max_position_abs") - threshold * F.col("collapsed_abs")).alias("excess"))
+    rows = lifts.agg(F.array_sort(F.collect_list(pair)).alias("v"))
+    n = F.size("v")
+    zero = F.struct(F.lit(0.0).alias("hit"), F.lit(0.0).alias("excess"))
+    add = lambda a, x: F.struct((a["hit"] + x["hit"]).alias("hit"), (a["excess"] + x["excess"]).alias("excess"))
+    mean = lambda v: F.aggregate(v, zero, add, lambda a: F.struct((a["hit"] / n).alias("hit"), (a["excess"] / n).alias("excess")))
+    draw = lambda b: mean(F.transform(F.sequence(F.lit(1), n), lambda i: F.get("v", F.floor(uniform(F.lit(seed), b, i) * n).cast("int"))))
+    some = rows.withColumn("means", F.when(n > 0, F.transform(F.sequence(F.lit(1), F.lit(draws)), draw)))
+    at = lambda f, q: F.coalesce(F.get(F.array_sort(F.transform("means", lambda m: m[f])), F.lit(int(q * (draws - 1)))), F.lit(0.0))
+    own = F.when(n > 0, mean(F.col("v")))
+    below = F.when(n > 0, F.size(F.filter("means", lambda m: m["excess"] <= 0)) / F.lit(draws))
+    return some.select(
+        n.cast("long").alias("n_tokens_evaluated"), F.size(F.filter("v", lambda x: x["hit"] > 0)).cast("long").alias("n_tokens_ge_threshold"), F.coalesce(own["hit"], F.lit(0.0)).alias("fraction_ge_threshold"),
+        at("hit", 0.025).alias("fraction_ge_threshold_ci95_low"), at("hit", 0.975).alias("fraction_ge_threshold_ci95_high"), F.coalesce(own["excess"], F.lit(0.0)).alias("mean_excess_over_threshold"),
+        at("excess", 0.025).alias("mean_excess_ci95_low"), at("excess", 0.975).alias("mean_excess_ci95_high"), F.coalesce(below, F.lit(1.0)).alias("paired_bootstrap_p_excess_le_zero"),
+    )
+
+
+def cluster_stability(matrix: DataFrame, tokens: list[str], fit, draws: int = 10, seed: int = 7) -> DataFrame:
+    """One row: mean, median, least and largest adjusted Rand index between the clusters of all rows and those of resampled rows.
+
+    fit(rows, tokens, seed) adds `cluster`. A draw holds each row (question_id and the token columns) that a resample of as
+    many rows would hold at least once, which a row is by chance 1 - (1 - 1/n)**n; fits are one after another.
+    """
+    from tracelith.operators import evaluate
+
+    base = fit(matrix, tokens, seed).select("question_id", F.col("cluster").alias("base"))
+    n = base.count()
+    share = 1 - (1 - 1 / max(1, n)) ** n
+    values = []
+    for b in range(1, draws + 1):
+        rows = matrix.filter(uniform(F.lit(seed), F.lit(b), "question_id") < share)
+        if rows.limit(2).count() == 2:
+            both = fit(rows, tokens, seed + b).select("question_id", "cluster").join(base, "question_id")
+            values.append(float(evaluate.adjusted_rand(both, "base", "cluster").first().ari))
+    spark = matrix.sparkSession
+    made = spark.createDataFrame([(v,) for v in values], "ari double")
+    return made.agg(F.lit(draws).alias("n_resamples_requested"), F.count("ari").alias("n_resamples_valid"), *(F.coalesce(f("ari"), F.lit(0.0)).alias(f"ari_{m}") for m, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))))
