@@ -139,3 +139,24 @@ def usage(payload: Column) -> list[Column]:
     at = lambda *names: F.coalesce(*(F.nullif(F.get_json_object(payload, f"$.{n}").try_cast("int"), F.lit(0)) for n in names))
     reasoning = F.coalesce(F.get_json_object(payload, "$.reasoning_tokens").try_cast("int"), F.get_json_object(payload, "$.completion_tokens_details.reasoning_tokens").try_cast("int"))
     return [at("prompt_tokens", "input_tokens").alias("prompt_tokens"), at("completion_tokens", "output_tokens").alias("completion_tokens"), reasoning.alias("reasoning_tokens")]
+
+
+def without_answer_line(text: Column, kind: Column) -> Column:
+    """A response without its last line if that line gives the answer in this format; blank lines at the end go first."""
+    every = lines(F.coalesce(text, F.lit("")))
+    # the last line that isn't blank, counted from one
+    last = F.aggregate(F.transform(every, lambda x, i: F.when(trimmed(x) != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+
+    def cut(n: Column) -> Column:
+        said = trimmed(F.coalesce(F.try_element_at(every, F.greatest(n, F.lit(1))), F.lit("")))
+        answers = ((kind == "hash") & said.startswith("####")) | ((kind == "final") & said.rlike(r"(?i)^FINAL\s*:")) | ((kind == "boxed") & said.contains("\\boxed{"))
+        return F.when(n == 0, F.lit("")).otherwise(trimmed(F.array_join(F.slice(every, F.lit(1), F.when(answers, n - 1).otherwise(n)), "\n")))
+
+    return let(last, cut)
+
+
+def content_text(content: Column) -> Column:
+    """A message's content: plain text, or the texts of its parts (a JSON list of strings and objects with text), joined."""
+    parts = F.when(content.rlike(r"^\s*\["), F.from_json(content, "array<string>"))
+    text = lambda x: F.when(x.rlike(r"^\s*\{"), F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).otherwise(x)
+    return F.coalesce(F.array_join(F.transform(parts, text), ""), content, F.lit(""))

@@ -80,3 +80,15 @@ def sequence_in_text(text: Column) -> Column:
     clean = trimmed(text)
     found = [F.when(clean.rlike(rf"(?i){label}\s*:\s*.+"), trimmed(F.regexp_extract(clean, rf"(?i){label}\s*:\s*(.+)", 1))) for label in SEQUENCE_LABELS]
     return F.coalesce(*found, F.lit("MISSING"))
+
+
+def chunk_list(json: Column) -> Column:
+    """Chunks that a model has told as a JSON list, or under `chunks`: text and type under any of their names.
+
+    Blank ones go, an unknown type is told by the text, and neighbours of one type are joined.
+    """
+    parts = F.from_json(F.coalesce(F.get_json_object(json, "$.chunks"), F.when(json.rlike(r"^\s*\["), json)), "array<struct<text_span:string,text:string,span:string,span_type:string,type:string,label:string>>")
+    first = lambda c, *names: F.coalesce(*(nonempty(c[n]) for n in names), F.lit(""))
+    read = F.transform(F.filter(parts, lambda c: c.isNotNull()), lambda c: F.struct(trimmed(first(c, "text_span", "text", "span")).alias("t"), F.replace(F.lower(trimmed(first(c, "span_type", "type", "label"))), F.lit("_"), F.lit("-")).alias("k")))
+    typed = F.transform(F.filter(read, lambda c: c["t"] != ""), lambda c: F.struct(c["t"].alias("text_span"), F.when(c["k"].isin("reasoning", "noise"), c["k"]).when(is_noise(c["t"]), "noise").otherwise("reasoning").alias("span_type")))
+    return F.coalesce(let(typed, merged), F.expr("cast(array() as array<struct<text_span:string,span_type:string>>)"))
