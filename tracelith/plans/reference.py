@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracelith.functions import answers, chunks, stats
 from tracelith.functions.tokens import base_types, compressed
-from tracelith.operators import cards, corpus, evaluate, mining, models, resample, within
+from tracelith.operators import cards, corpus, evaluate, mining, models, resample, signals as signal, summaries, within
 from tracelith.plans import export
+from tracelith.sources import tables
 from tracelith.sources.traces import event_traces, order_traces, table
 from tracelith.streaming import collect, status
 
@@ -121,9 +122,15 @@ def frequent_prefixspan(spark, d):
     return rounded(mining.frequent(event_traces(spark, d), 5, 1, 4, "prefixspan"))
 
 
-@query("patterns_reduced")
+# one pass for each length from the longest down: a pattern goes if a longer kept one holds it
+PART = "v{n} AS (SELECT motif AS whole, sa, sb, ad, array_to_string(list_transform(list_filter(generate_series(1, len(mt)), lambda i: (mask >> (i - 1)) & 1 = 1), lambda i: mt[i]), '|') AS part FROM ({kept}), generate_series(1, 14) q(mask) WHERE mask < (1 << len(mt)) - 1)"
+LEVEL = "k{n} AS (SELECT * FROM w WHERE k = {n} AND NOT EXISTS (SELECT 1 FROM v{n} WHERE part = w.motif AND abs(w.sa - v{n}.sa) <= 0.02 AND abs(w.sb - v{n}.sb) <= 0.02 AND v{n}.ad >= w.ad))"
+KEPT = {n: " UNION ALL ".join(f"SELECT * FROM k{m}" for m in range(4, n, -1)) for n in (3, 2, 1)}
+REDUCED = "w AS (SELECT *, string_split(motif, '|') AS mt, a / s AS sa, b / f AS sb, abs(a / s - b / f) AS ad FROM d, n WHERE a + b > 0), k4 AS (SELECT * FROM w WHERE k = 4), " + ", ".join(f"{PART.format(n=n, kept=KEPT[n])}, {LEVEL.format(n=n)}" for n in (3, 2, 1))
+
+
+@query("patterns_reduced", f"WITH {T1}, {TOTALS}, {SUBS}, {COUNTS}, {CUT}, {REDUCED} SELECT {SCORES} FROM ({KEPT[1]} UNION ALL SELECT * FROM k1)")
 def patterns_reduced(spark, d):
-    """The one-by-one rule has an order; tests hold the result against it."""
     return rounded(mining.without_redundant(mining.pattern_table(event_traces(spark, d), tests=False)))
 
 
@@ -391,7 +398,7 @@ def representative_traces(spark, d):
     return rounded(export.representatives(event_traces(spark, d)))
 
 
-@query("overview", f"""WITH {T1} SELECT 'Curated pilot reasoning traces' AS corpus_label, count(*) AS total_traces, count(DISTINCT question_id) AS total_questions, {r8("avg(CAST(is_correct AS INT))", "success_rate")}, {r8("avg(len(tokens))", "avg_token_count")}, {r8("median(len(tokens))", "median_token_count")} FROM t""")
+@query("overview", f"""WITH {T1} SELECT 'traces' AS corpus_label, count(*) AS total_traces, count(DISTINCT question_id) AS total_questions, {r8("avg(CAST(is_correct AS INT))", "success_rate")}, {r8("avg(len(tokens))", "avg_token_count")}, {r8("median(len(tokens))", "median_token_count")} FROM t""")
 def overview(spark, d):
     return rounded(export.overview(event_traces(spark, d)))
 
@@ -520,7 +527,7 @@ def group_folds(spark, d):
 @query("hold_out_logistic")
 def hold_out_logistic(spark, d):
     """Gradient descent on held-out questions; tests hold the weights against plain numpy."""
-    return rounded(models.hold_out_metrics(models.hold_out(spark, event_traces(spark, d))))
+    return rounded(models.hold_out_metrics(models.hold_out(event_traces(spark, d))))
 
 
 @query("naive_bayes_scores", f"""WITH {T1}, {TOTALS}, {G12}, c AS (SELECT motif, count(*) FILTER (is_correct) AS a, count(*) FILTER (NOT is_correct) AS b FROM g GROUP BY 1 HAVING count(*) >= 12),
@@ -670,3 +677,125 @@ def exact_tests(spark, d):
     v = s(6, "a").join(s(5, "b")).join(s(6, "c")).join(s(5, "d"))
     return rounded(v.withColumn("p", stats.fisher(F.col("a"), F.col("b"), F.col("c"), F.col("d"))))
 
+
+
+LIST = "SELECT '{n}' AS list, row_number() OVER (ORDER BY {o}, motif) AS rank, motif FROM v WHERE s >= 10 QUALIFY rank <= 20"
+V1 = f"{NGRAMS.format(low=2, high=4)}, {COUNTS}, v AS (SELECT motif, a + b AS s, a, b, CAST(printf('%.6f', a / (a + b)) AS DOUBLE) AS pc, CAST(printf('%.6f', b / (a + b)) AS DOUBLE) AS pi, CAST(printf('%.6f', (a + 1) / (b + 1)) AS DOUBLE) AS ec, CAST(printf('%.6f', (b + 1) / (a + 1)) AS DOUBLE) AS ei FROM c)"
+
+
+@query("motif_lists", f"WITH {T1}, {V1} " + " UNION ALL ".join(LIST.format(n=n, o=o) for n, o in {"best": "pc DESC, s DESC, ec DESC", "worst": "pi DESC, s DESC, ei DESC", "most_correct_enriched": "ec DESC, s DESC", "most_incorrect_enriched": "ei DESC, s DESC", "most_frequent": "s DESC"}.items()))
+def motif_lists(spark, d):
+    return rounded(summaries.ranked_lists(mining.v1_motifs(event_traces(spark, d))))
+
+
+@query("motif_dominance", f"""WITH {T1}, {V1} SELECT count(*) FILTER (a > b) AS correct_dominant, count(*) FILTER (b > a) AS incorrect_dominant, count(*) FILTER (a = b) AS tie_dominant, {r8("min(pc)", "min")}, {r8("quantile_cont(pc, 0.25)", "p25")}, {r8("median(pc)", "median")}, {r8("avg(pc)", "mean")}, {r8("quantile_cont(pc, 0.75)", "p75")}, {r8("max(pc)", "max")} FROM v""")
+def motif_dominance(spark, d):
+    return rounded(summaries.dominance(mining.v1_motifs(event_traces(spark, d))))
+
+
+@query("dataset_summary", f"""WITH {T2} SELECT count(*) AS trace_count, count(DISTINCT question_id) AS question_count, count(*) FILTER (is_correct) AS success_count, count(*) FILTER (NOT is_correct) AS failure_count, {r8("avg(len(tokens))", "avg_token_count")}, {r8("median(len(tokens))", "median_token_count")}, max(len(tokens)) AS max_token_count,
+  0::BIGINT AS rows_with_noise, 0::DOUBLE AS rows_with_noise_rate, (SELECT count(DISTINCT x) FROM (SELECT unnest(tokens) AS x FROM t)) AS unique_token_count FROM t""")
+def dataset_summary(spark, d):
+    return rounded(summaries.dataset_summary(order_traces(spark, d)))
+
+
+@query("token_types", f"WITH {T2} SELECT split_part(x, ':', 1) AS token_type, count(*) AS count FROM (SELECT unnest(tokens) AS x FROM t) GROUP BY 1")
+def token_types(spark, d):
+    return rounded(summaries.type_counts(order_traces(spark, d)))
+
+
+@query("base_type_scores", f"WITH {T0}, {MODELS} SELECT model, split_part(token, '_', 1) AS key, {r8('avg(mean_delta)', 'score')} FROM x GROUP BY 1, 2")
+def base_type_scores(spark, d):
+    return rounded(summaries.key_means(model_deltas(spark, d), F.substring_index("token", "_", 1), by=("model",)))
+
+
+@query("class_lengths", f"""WITH {T1} SELECT question_id, {r8("coalesce(sum(len(tokens)) FILTER (is_correct), 0) / greatest(count(*) FILTER (is_correct), 1)", "success_avg_length")}, {r8("coalesce(sum(len(tokens)) FILTER (NOT is_correct), 0) / greatest(count(*) FILTER (NOT is_correct), 1)", "failure_avg_length")} FROM t GROUP BY 1""")
+def class_lengths(spark, d):
+    return rounded(summaries.class_lengths(event_traces(spark, d)))
+
+
+@query("from_question", f"WITH {T1}, m AS (SELECT max(CAST(question_id AS BIGINT)) // 2 AS k FROM t), b AS (SELECT min(CAST(question_id AS BIGINT)) AS k FROM t WHERE CAST(question_id AS BIGINT) >= (SELECT k FROM m)) SELECT trace_id FROM t, b WHERE CAST(question_id AS BIGINT) >= b.k")
+def from_question(spark, d):
+    t = event_traces(spark, d)
+    q = F.col("question_id").cast("long")
+    half = t.agg(F.max(q)).first()[0] // 2
+    return summaries.from_question(t, str(t.filter(q >= half).agg(F.min(q)).first()[0])).select("trace_id")
+
+
+@query("matched_motifs", f"""WITH {T1}, {SEP}, h AS (SELECT g.trace_id, y.direction, y.rank, y.motif FROM g JOIN y ON g.question_id = y.question_id AND g.motif = y.motif WHERE rank <= 8)
+SELECT t.trace_id, coalesce(string_agg(motif, ',' ORDER BY rank) FILTER (direction = 'success'), '') AS matched_success, coalesce(string_agg(motif, ',' ORDER BY rank) FILTER (direction = 'failure'), '') AS matched_failure FROM t LEFT JOIN h USING (trace_id) GROUP BY 1""")
+def matched_motifs(spark, d):
+    t = event_traces(spark, d)
+    found = summaries.matched_motifs(t, export.split_by_direction(export.local_rows(t)))
+    return found.select("trace_id", F.array_join("matched_success_motifs", ",").alias("matched_success"), F.array_join("matched_failure_motifs", ",").alias("matched_failure"))
+
+
+@query("auc_trajectory", f"""WITH {T1}, p AS (SELECT question_id, fr AS fraction, avg(CASE WHEN is_correct THEN greatest(1, ceil(len(tokens) * fr)) ELSE -1 END) AS v FROM t, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) f(fr) GROUP BY 1, 2),
+s AS (SELECT *, lag(v) OVER (PARTITION BY question_id ORDER BY fraction) AS last FROM p) SELECT question_id, {r8("regr_slope(v, fraction)", "slope")}, NOT coalesce(bool_or(last > v + 1e-12), false) AS monotonic_non_decreasing FROM s GROUP BY 1""")
+def auc_trajectory(spark, d):
+    t = event_traces(spark, d).withColumn("fraction", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75, 1.0)))))
+    v = F.when(F.col("is_correct"), F.greatest(F.lit(1), F.ceil(F.size("tokens") * F.col("fraction")))).otherwise(F.lit(-1))
+    return rounded(signal.trajectory(t.groupBy("question_id", "fraction").agg(F.avg(v).alias("v")), "fraction", "v", ("question_id",)))
+
+
+METRICS = f"""{SIGNALS}, u AS (SELECT unnest(['length', 'kinds', 'variety']) AS signal, unnest([length, kinds, variety]) AS x, is_correct FROM s0),
+mt AS (SELECT signal, corr(x, CAST(is_correct AS INT)) AS p, avg(x) FILTER (is_correct) AS m1, avg(x) FILTER (NOT is_correct) AS m0 FROM u GROUP BY 1), st AS (SELECT *, CASE WHEN abs(m1 - m0) < 1e-9 THEN 1 ELSE abs(m1 - m0) END AS scale, (m1 + m0) / 2 AS th FROM mt),
+w AS (SELECT trace_id, is_correct, sum(p * (x - th) / scale) AS raw FROM (SELECT trace_id, is_correct, unnest(['length', 'kinds', 'variety']) AS signal, unnest([length, kinds, variety]) AS x FROM s0) JOIN st USING (signal) GROUP BY 1, 2)"""
+
+
+def predictions(spark, d):
+    rows = signals(spark, d)
+    names = ["length", "kinds", "variety"]
+    report = evaluate.signal_report(rows, names, "is_correct").select("signal", F.col("rank").alias("place"), F.col("pearson").alias("pearson_with_correct"), F.col("mean_success").alias("mean_correct"), F.col("mean_failure").alias("mean_incorrect"), ((F.col("mean_success") + F.col("mean_failure")) / 2).alias("best_threshold"))
+    return signal.success_scores(rows, report)
+
+
+@query("success_scores", f"WITH {T1}, {METRICS} SELECT trace_id, {r8('raw', 'raw_score')}, {r8('1 / (1 + exp(-raw))', 'p_success')}, 1 / (1 + exp(-raw)) >= 0.5 AS predicted FROM w")
+def success_scores(spark, d):
+    return rounded(predictions(spark, d).select("trace_id", "raw_score", "p_success", "predicted"))
+
+
+@query("prediction_summary", f"WITH {T1}, {METRICS} SELECT count(*) AS rows, {r8('avg(CAST((1 / (1 + exp(-raw)) >= 0.5) = is_correct AS INT))', 'accuracy')}, {r8('avg(round(1 / (1 + exp(-raw)), 6))', 'mean_p_success')} FROM w")
+def prediction_summary(spark, d):
+    return rounded(signal.prediction_summary(predictions(spark, d)))
+
+
+@query("signal_metrics")
+def signal_metrics(spark, d):
+    """Six signals of critical steps with their best thresholds; parts of it have SQL (signal_report, best_threshold)."""
+    t = event_traces(spark, d)
+    return rounded(signal.metrics(signal.signal_columns(mining.critical_steps(t, mining.motif_index(mining.v1_motifs(t)), 2, 4).join(t.select("trace_id", "tokens"), "trace_id"))))
+
+
+@query("normalized_benchmark", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS question_id, trim(text) AS question, CAST(item_id % 7 AS VARCHAR) AS answer, 'b' AS source_dataset, CAST(item_id AS VARCHAR) AS source_id, 'easy' AS level FROM benchmark WHERE item_id % 7 <> 3 AND trim(text) <> ''")
+def normalized_benchmark(spark, d):
+    b = table(spark, d, "benchmark")
+    rows = b.select(F.col("text").alias("problem"), F.when(F.col("item_id") % 7 == 3, F.lit(" ")).otherwise((F.col("item_id") % 7).cast("string")).alias("answer"), F.col("item_id").alias("id"))
+    return rounded(tables.normalized_benchmark(rows, "b", level="easy", order="id"))
+
+
+WORDS = {k: v.replace("'", "''") for k, v in export.SENTENCES.items()}
+INSIGHTS = f"""i AS (SELECT question_id, CASE WHEN s > 0 AND n > s THEN printf('{WORDS["mixed"]}', s, n - s) WHEN s > 0 THEN '{WORDS["right"]}' ELSE '{WORDS["wrong"]}' END AS mood,
+  CASE WHEN ms < mf THEN '{WORDS["shorter"]}' WHEN ms > mf THEN '{WORDS["longer"]}' WHEN ms = mf THEN '{WORDS["even"]}' END AS size, CASE WHEN s >= 2 AND n - s >= 2 THEN printf('{WORDS["up"]}', up) END AS su, CASE WHEN s >= 2 AND n - s >= 2 THEN printf('{WORDS["down"]}', down) END AS sd,
+  CASE WHEN da >= 3 THEN printf('{WORDS["spread"]}', da) END AS spread FROM (SELECT question_id, count(*) AS n, count(*) FILTER (is_correct) AS s, median(len(tokens)) FILTER (is_correct) AS ms, median(len(tokens)) FILTER (NOT is_correct) AS mf, count(DISTINCT predicted_answer) AS da FROM t GROUP BY 1)
+  LEFT JOIN (SELECT question_id, max(motif) FILTER (rank = 1 AND direction = 'success') AS up, max(motif) FILTER (rank = 1 AND direction = 'failure') AS down FROM y GROUP BY 1) USING (question_id))"""
+
+
+@query("question_insights", f"WITH {T1}, {SEP}, {INSIGHTS} SELECT question_id, array_to_string(list_slice(list_filter([mood, size, su, sd, spread], lambda x: x IS NOT NULL), 1, 4), ' | ') AS insights FROM i")
+def question_insights(spark, d):
+    return export.question_summaries(event_traces(spark, d)).select("question_id", F.array_join("insights", " | ").alias("insights"))
+
+
+@query("lift_bootstrap")
+def lift_bootstrap(spark, d):
+    """Random by nature: tests look at its limits."""
+    rows = within.position_deltas(event_traces(spark, d))
+    return rounded(resample.bootstrap_lifts(rows.groupBy("base").agg(F.max("lift_ratio").alias("lift_ratio"), F.max(F.abs("mean_delta")).alias("max_position_abs"), F.max(F.abs("collapsed_delta")).alias("collapsed_abs")).withColumnRenamed("base", "token")))
+
+
+@query("cluster_stability")
+def cluster_stability(spark, d):
+    """Resampled k-means: tests look at its limits."""
+    names = event_tokens(spark, d)
+    rows = within.per_question(within.mixed(event_traces(spark, d)), F.col("tokens")).filter("delta_q is not null")
+    return rounded(resample.cluster_stability(evaluate.delta_matrix(rows, names), names, lambda m, t, seed: models.clusters(m, t, seed=seed)))
