@@ -6,12 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 #: bytes.split() cuts at the same six characters.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_byte_values = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+#: Powers of one odd number and of its inverse, modulo 2**64, kept up to KEPT of each in a worker.
+ODD, KEPT = 0x9E3779B97F4A7C15, 1 << 21
+_powers: list[np.ndarray] = []
+_tables: dict[int, np.ndarray] = {}
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,27 +52,36 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if seed not in _powers or len(_powers[seed][0]) < n:
-        odd = (0x9E3779B97F4A7C15 + 0x5851F42D4C957F2E * seed) & 0xFFFFFFFFFFFFFFFF | 1
+def powers(n: int) -> list[np.ndarray]:
+    """n powers of ODD and of its inverse at least."""
+    if not _powers or len(_powers[0]) < n:
         both = []
-        for k in (odd, pow(odd, -1, 1 << 64)):
+        for k in (ODD, pow(ODD, -1, 1 << 64)):
             x = np.full(max(n, 1 << 16), k, np.uint64)
             x[0] = 1
             both.append(np.multiply.accumulate(x))
-        _powers[seed] = (both[0], both[1])
-    return _powers[seed]
+        if n > KEPT:
+            return both
+        _powers[:] = both
+    return _powers
+
+
+def byte_values(raw: np.ndarray, seed: int) -> np.ndarray:
+    """A random value for each byte; few seeds are in use, so their tables are kept."""
+    if seed not in _tables:
+        _tables[seed] = np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64)
+    return _tables[seed][raw]
 
 
 class RangeHash:
-    """64-bit hashes of any ranges of a value array, read off one prefix sum."""
+    """64-bit hashes of any ranges of bytes or of 64-bit values, read off one prefix sum. Seeds differ in what symbols are worth."""
 
-    def __init__(self, values: np.ndarray, seed: int = 0):
+    def __init__(self, symbols: np.ndarray, seed: int = 0):
         self.seed = seed
-        power, self.back = powers(len(values) + 1, seed)
+        values = byte_values(symbols, seed) if symbols.dtype == np.uint8 else mix(symbols, seed + 100)
+        power, self.back = powers(len(values) + 1)
         self.total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * power[: len(values)], out=self.total[1:])
+        np.cumsum(np.multiply(values, power[: len(values)], out=values), out=self.total[1:])
 
     def __call__(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out = (self.total[starts + lengths] - self.total[starts]) * self.back[starts]
@@ -82,10 +93,6 @@ class RangeHash:
         return mix((self.total[n:] - self.total[:m]) * self.back[:m] + np.uint64(n), self.seed)
 
 
-def byte_values(raw: np.ndarray) -> np.ndarray:
-    return _byte_values[raw]
-
-
 def word_ranges(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and length of each word between ASCII blanks, and the words before each of `bounds`; no word crosses a bound."""
     blank = np.ones(len(raw) + 1, bool)

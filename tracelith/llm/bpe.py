@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracelith.llm.arrays import RangeHash, byte_values, chunks, gather, ragged
+from tracelith.llm.arrays import RangeHash, chunks, gather, ragged
 from tracelith.llm.run import documents, small_batches
 
 #: The published word pattern and the byte alphabet of byte-level BPE.
@@ -42,7 +42,7 @@ NO_RANK = np.int64(1 << 40)
 #: Longer words are merged one by one with a heap: rounds would cost their length squared.
 LONG_WORD = 2000
 TABLE_ROWS = 1_500_000
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -253,7 +253,7 @@ class Codec:
         return ids, np.r_[0, ends][word_ends]
 
     def gather_ids(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, first, inverse = np.unique(RangeHash(byte_values(raw))(starts, lengths), return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(RangeHash(raw)(starts, lengths), return_index=True, return_inverse=True)
         if len(self.known) > TABLE_ROWS:
             self.clear()
         at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
@@ -305,7 +305,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
     A map over the rows: no shuffle, memory bounded by a batch and the word table.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,7 +144,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     numbers come from the task counts, summed in order of the tasks.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     scratch = Scratch(spark)
     cut = scratch.write(pieces(docs, path, capacity, with_ids), "pieces")
     by_task = scratch.write(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
