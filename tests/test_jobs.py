@@ -201,3 +201,52 @@ def test_summaries(spark):
     assert [r.question_id for r in ids.orderBy(summaries.place_of(F.col("question_id"))).collect()] == ["9", "10", "011", "a", "b"]
     assert {r.question_id for r in summaries.from_question(ids, "011").collect()} == {"011", "a", "b"} and summaries.from_question(ids, "zz").isEmpty() and summaries.from_question(ids, None).count() == 5
     assert summaries.nonzero(spark.createDataFrame([(0.0,), (1e-13,), (-1e-3,)], "coefficient double")).count() == 1
+
+
+def test_service_over_http(spark, tmp_path):
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+    from threading import Thread
+
+    from tracelith.plans import export, service
+
+    t, _ = traces(spark)
+    t = t if "predicted_answer" in t.columns else t.withColumn("predicted_answer", F.lit("4"))
+    export.write_questions(t, f"{tmp_path}/e", "pilot")
+    web = service.server(export.Service(spark, f"{tmp_path}/e"), 0, lambda: spark.range(2))
+    Thread(target=web.serve_forever, daemon=True).start()
+    get = lambda p: json.loads(urlopen(f"http://127.0.0.1:{web.server_address[1]}{p}").read())
+    assert get("/api/health") == {"status": "ok"} and get("/api/overview")["corpus_label"] == "pilot" and get("/api/status") == [{"id": 0}, {"id": 1}]
+    listed = get("/api/questions?sort=trace_count")
+    assert listed and get(f"/api/questions/{listed[0]['question_id']}")["total_traces"] == listed[0]["total_traces"]
+    for wrong, code in (("/api/questions/none", 404), ("/x", 404), ("/api/questions?sort=y", 400)):
+        with pytest.raises(HTTPError) as e:
+            get(wrong)
+        assert e.value.code == code
+    web.shutdown()
+
+
+def test_small_artifacts_and_readers(spark, tmp_path):
+    from tracelith.operators import corpus
+    from tracelith.plans import export
+    from tracelith.sources import attempts, traces as source
+
+    export.write_json({"b": 1, "a": [2]}, f"{tmp_path}/x.json")
+    assert (tmp_path / "x.json").read_text() == '{\n  "a": [\n    2\n  ],\n  "b": 1\n}\n'
+    df = spark.createDataFrame([("a", 1.0), ("b", -3.0), ("c", 2.0)], "name string, v double")
+    assert [(r.place, r.label, r.value) for r in export.plot_data(df, "name", "v", k=2).collect()] == [(1, "b", -3.0), (2, "c", 2.0)]
+    assert sorted((r.bin, r["count"]) for r in export.histogram(df, "v", 5).collect()) == [(0, 1), (4, 2)]
+    (tmp_path / "t.csv").write_text("question_id,sample_id,is_correct,tokenized_trace\n1,0,true,a b\n1,1,maybe,a\n2,0,false,MISSING\n")
+    assert tuple(source.load_counts(spark, f"{tmp_path}/t.csv").first()) == (3, 1, 1, 1) and source.table_file(spark, f"{tmp_path}/t.csv").count() == 3
+    (tmp_path / "e.csv").write_text("question_id,sample_id,is_correct,tokenized_trace\n")
+    with pytest.raises(ValueError, match="no rows"):
+        source.trace_csv(spark, f"{tmp_path}/e.csv")
+    with pytest.raises(ValueError, match="no reader"):
+        source.table_file(spark, "x.txt")
+    (tmp_path / "l.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert source.table_file(spark, f"{tmp_path}/l.json").count() == 2 and "gsm8k" in attempts.preset_names()
+    t, _ = traces(spark)
+    assert corpus.question_stats(t, least_right=1, least_wrong=1).filter("right < 1 or wrong < 1").isEmpty()
+    many = "$" * 9 + "\\(x\\)" + "$" * 9
+    got = spark.range(1).select(answers.cleaned(F.lit(many)).alias("c"), answers.verify_prompt(F.lit("q"), F.lit("4"), F.lit("r")).alias("p")).first()
+    assert got.c == "x" and got.p.endswith("Response:\nr")

@@ -17,6 +17,7 @@ LIST_PREFIX = r"^\s*(?:[-*+]|\d+[.)])\s+"
 LEAD = r"(?i)^\s*(?:therefore|thus|hence),?\s*"
 ANSWER_LEAD = r"(?i)^\s*(?:the\s+)?(?:final\s+)?answer\s+(?:is|=|:|-)\s*"
 TAIL = r"(?is)\s+(?:as\s+required|as\s+desired|which\s+is\s+the\s+answer)\b.*$"
+WRAPPED = r"^(?s)(?:\\\(\s*(.*?)\s*\\\)|\\\[\s*(.*?)\s*\\\]|\$\s*(.*?)\s*\$)$"
 NUMBER_LIKE = r"\\frac|\\sqrt|\\pi|[0-9]"
 NO_ANSWERS = ("none", "null", "n/a", "na", "no answer", "no valid answer", "no valid answer found", "unknown")
 WRONG_SENTINEL = "__LLM_VALIDATED_WRONG__"
@@ -26,7 +27,7 @@ PROMPTS = {
     "boxed": "Show your reasoning, then end with the final answer on its own line in the form: \\boxed{answer}",
     "final": "Show your reasoning, then end with a final line exactly in the form: FINAL: <answer>",
 }
-LAST_LINES, SHORT_ANSWER, WRAPPERS = 8, 80, 4
+LAST_LINES, SHORT_ANSWER = 8, 80
 
 
 def trimmed(x: Column) -> Column:
@@ -71,9 +72,10 @@ def cleaned(answer: Column) -> Column:
     text = trimmed(F.regexp_replace(F.regexp_replace(text, LEAD, ""), ANSWER_LEAD, ""))
     text = F.regexp_replace(trimmed(F.regexp_replace(text, TAIL, "")), r"^[`*_]+|[`*_]+$", "")
     text = F.regexp_replace(trimmed(text), r"[.,;:]+$", "")
-    for _ in range(WRAPPERS):
-        text = F.regexp_replace(text, r"^(?s)(?:\\\(\s*(.*?)\s*\\\)|\\\[\s*(.*?)\s*\\\]|\$\s*(.*?)\s*\$)$", "$1$2$3")
-        text = F.regexp_replace(text, r"[.,;:]+$", "")
+    # delimiters go layer by layer, each of which has two characters at least
+    peeled = lambda t: F.regexp_replace(F.regexp_replace(t, WRAPPED, "$1$2$3"), r"[.,;:]+$", "")
+    layers = lambda t: F.when(t.rlike(r"^(?:\\[(\[]|\$)"), F.greatest(F.lit(1), F.floor(F.length(t) / 2).cast("int"))).otherwise(F.lit(1))
+    text = let(text, lambda t: F.aggregate(F.sequence(F.lit(1), layers(t)), t, lambda acc, _: peeled(acc)))
     return trimmed(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -160,3 +162,11 @@ def content_text(content: Column) -> Column:
     parts = F.when(content.rlike(r"^\s*\["), F.from_json(content, "array<string>"))
     text = lambda x: F.when(x.rlike(r"^\s*\{"), F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).otherwise(x)
     return F.coalesce(F.array_join(F.transform(parts, text), ""), content, F.lit(""))
+
+
+VERIFY = "Does the response below settle on an answer, and is it the reference answer? Say what it settles on, or none. Answer with JSON alone: {\"extracted_answer\": ..., \"is_correct\": true or false}."
+
+
+def verify_prompt(question: Column, gold: Column, response: Column) -> Column:
+    """What a verifier is asked about a response without a clear answer; `verified` reads its verdict."""
+    return F.concat_ws("\n\n", F.lit(VERIFY), F.concat(F.lit("Question:\n"), question), F.concat(F.lit("Reference answer:\n"), gold), F.concat(F.lit("Response:\n"), response))

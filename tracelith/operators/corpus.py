@@ -44,11 +44,11 @@ def corpus_summary(traces: DataFrame) -> DataFrame:
     )
 
 
-def question_stats(traces: DataFrame, least: int = 1, only_mixed: bool = False) -> DataFrame:
+def question_stats(traces: DataFrame, least: int = 1, only_mixed: bool = False, least_right: int = 0, least_wrong: int = 0) -> DataFrame:
     out = traces.groupBy("question_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_correct").alias("right"), F.count_if(~F.col("is_correct")).alias("wrong"), F.avg(F.size("tokens")).alias("avg_len"))
     out = out.withColumn("accuracy", F.col("right") / F.col("total")).withColumn("is_mixed", (F.col("right") > 0) & (F.col("wrong") > 0))
     out = out.withColumn("acceptance_rate", F.lit(1.0)).withColumn("percent_correct", 100.0 * F.col("accuracy"))
-    return out.filter((F.col("total") >= least) & (F.col("is_mixed") | F.lit(not only_mixed)))
+    return out.filter((F.col("total") >= least) & (F.col("right") >= least_right) & (F.col("wrong") >= least_wrong) & (F.col("is_mixed") | F.lit(not only_mixed)))
 
 
 def document_frequency(traces: DataFrame) -> DataFrame:

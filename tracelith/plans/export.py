@@ -145,3 +145,22 @@ def markdown(df: DataFrame, title: str, k: int = 25) -> str:
 def bundles(traces: DataFrame, low: int = 2, high: int = 3, least: int = 2) -> DataFrame:
     """Motif cards of every question in one pass."""
     return cards.motif_cards(traces, low, high, least, by=("question_id",))
+
+
+def write_json(value: object, path: str) -> None:
+    """A small artifact with sorted keys, on the driver's disk: a summary of one row, not a table."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
+
+
+def plot_data(rows: DataFrame, label: str, value: str, low: str | None = None, high: str | None = None, k: int = 25) -> DataFrame:
+    """What a bar or forest plot draws: the k largest values by size, with limits where there are any, in the order of the bars."""
+    return rows.orderBy(F.desc(F.abs(value)), label).limit(k).select(F.row_number().over(Window.orderBy(F.desc(F.abs(value)), label)).alias("place"), F.col(label).alias("label"), F.col(value).alias("value"), *(F.col(c).alias(n) for c, n in ((low, "low"), (high, "high")) if c))
+
+
+def histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
+    """bin, start, stop, count over equal bins from the least to the largest value, the last one closed."""
+    ends = rows.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-12))
+    at = rows.select(F.col(value).cast("double").alias("x")).filter("x is not null").crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).alias("bin"), "lo", width.alias("w"))
+    return at.groupBy("bin").agg((F.first("lo") + F.col("bin") * F.first("w")).alias("start"), (F.first("lo") + (F.col("bin") + 1) * F.first("w")).alias("stop"), F.count(F.lit(1)).alias("count"))

@@ -85,3 +85,7 @@ def resolved_format(spark: SparkSession, path: str, given: str | None = None) ->
     if path in PRESETS:
         return PRESETS[path]
     return spark.range(1).select(answers.format_of_path(F.lit(path))).first()[0]
+
+
+def preset_names() -> list[str]:
+    return sorted(PRESETS)

@@ -55,6 +55,8 @@ def detect(df: DataFrame, *candidates: str) -> str:
 def trace_csv(spark: SparkSession, path: str, trace_col: str = "tokenized_trace", delimiter: str = " ", skip_bad: bool = False) -> DataFrame:
     """Typed traces of a CSV file. Labels that can't be read raise, or with `skip_bad` drop their rows."""
     raw = strings(spark, path)
+    if raw.isEmpty():
+        raise ValueError(f"no rows in {path}")
     for wrong, right in (("quesiton_id", "question_id"),):
         raw = raw.withColumnRenamed(wrong, right) if right not in raw.columns else raw
     missing = [c for c in ("question_id", "sample_id", "is_correct", trace_col) if c not in raw.columns]
@@ -76,3 +78,25 @@ def benchmark_items(df: DataFrame, order: str) -> DataFrame:
     rows = df.filter((F.trim("question") != "") & (F.trim("answer") != ""))
     place = F.row_number().over(Window.orderBy(order)) - 1
     return rows.withColumn("question_id", F.coalesce(F.col("question_id").cast("int"), place) if "question_id" in df.columns else place)
+
+
+def load_counts(spark: SparkSession, path: str, trace_col: str = "tokenized_trace") -> DataFrame:
+    """One row: total rows of a trace file, those skipped for their label, those skipped for want of a trace or a question."""
+    raw = strings(spark, path)
+    bad = strict_bool(F.col("is_correct"), raises=False).isNull()
+    blank = F.coalesce(F.trim(trace_col), F.lit("")).isin("", "MISSING") | (F.coalesce(F.trim("question_id"), F.lit("")) == "")
+    return raw.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("bad_label"), F.count_if(~bad & blank).alias("no_trace"), F.count_if(~bad & ~blank).alias("kept"))
+
+
+def table_file(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table by its suffix: csv, json (a list of objects), jsonl or parquet; any other is an error."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix == "csv":
+        return strings(spark, path)
+    if suffix == "jsonl":
+        return jsonl(spark, path, schema) if schema else spark.read.json(path)
+    if suffix == "json":
+        return spark.read.json(path, multiLine=True)
+    if suffix == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"no reader for {path}: csv, json, jsonl and parquet are known")
