@@ -28,20 +28,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.one_of_each(docs, 80)
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """Adds `own_id`, the doc_id, and puts a hash of doc_id and text beyond 2^62 in doc_id where it is null or on several rows."""
-    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("several"))
-    rows = docs.withColumn("own_id", F.col("doc_id"))
-    rows = rows.withColumn("several", F.lit(False)) if several.isEmpty() else rows.join(several, "doc_id", "left")
-    other = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return rows.withColumn("doc_id", F.when(F.col("doc_id").isNull() | F.coalesce("several", F.lit(False)), other).otherwise(F.col("doc_id").cast("long"))).drop("several")
-
-
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated 20-word windows go, but for their first place; texts that lose nothing stay as they are. Every row stays."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id",))
-    out = substrings.drop_repeats(told_apart(docs), carry=("own_id", *rest)).drop("doc_id").withColumnRenamed("own_id", "doc_id")
-    return sized(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns))
+    """Words of repeated 20-word windows go, but for their first place. Every row stays.
+
+    What is left of a text that loses words is joined by single spaces, so its lines go; other texts stay as they are.
+    """
+    out = substrings.drop_repeats(docs, keep_row=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    return sized(out.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
