@@ -71,3 +71,37 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (500, 600)], "u long, v long")
     got = {r.node: r.component for r in components(edges, Scratch(spark)).collect()}
     assert all(got[i] == 0 for i in range(101)) and got[400] == got[500] == got[600] == 400
+
+
+def test_near_copies_below_the_threshold(spark):
+    """2000 texts that share bands in pairs, none of them linked: no all-pairs output, and nothing joined."""
+    r = random.Random(4)
+    base = [f"x{i}" for i in range(300)]
+    # eight changed words touch 40 of 296 shingles: about 0.76 between two texts
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for at in r.sample(range(5, 295, 10), 8):
+            words[at] = f"y{i}-{at}"
+        rows.append((i, " ".join(words)))
+    linked = {d: c for d, _, c, _ in brute(rows[:150])}
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(linked[i] == i for i in linked) and all(got[i] == i for i in got)
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs with exactly 170 common shingles of 200, at least 0.999 are found; of those with 170 of 202 none."""
+    n, rows = 1500, []
+    for i in range(n):
+        common = [f"{i}-{k}" for k in range(174)]
+        rows += [(4 * i + j, " ".join(common + [f"{i}.{j}.{k}" for k in range(own)])) for j, own in enumerate((15, 15, 17))]
+    assert [c for _, _, c, _ in brute(rows[:3])] == [0, 0, 2]
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[4 * i + 1] == 4 * i for i in range(n)) >= 0.999 * n and all(got[4 * i + 2] == 4 * i + 2 for i in range(n))
+
+
+def test_null_ids_and_shared_ids(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, "a b c d e f"), (2, " ".join([*words, "end"])), (3, "a b c d e f g")]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(None, 46, None, True), (1, 46, 1, True), (2, 2, 1, False), (2, 47, 1, False), (3, 3, 3, True)], key=repr)
