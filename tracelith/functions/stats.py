@@ -33,94 +33,41 @@ def ln_factorial(n: Column) -> Column:
     return F.when(n < 16, F.get(small, n.cast("int"))).otherwise(series)
 
 
-#: A tail is summed over this many points at most; up to as many terms the sum is exact.
-POINTS = 512
+#: So many deviations from the mean no term counts.
+REACH = 40
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def tail(log_p, first: Column, last: Column, spread: Column) -> Column:
-    """Sum of exp(log_p(x)) from `first` to `last`, away from the mode; `spread` is the distribution's deviation.
-
-    Terms fall off with the deviation or faster: what lies 40 such lengths off doesn't matter. Of more than POINTS
-    terms every h-th is taken, and the sum is the trapezoid rule's with two corrections (Euler and Maclaurin).
-    """
-    way = F.when(last < first, F.lit(-1)).otherwise(F.lit(1)).cast("long")
-    drop = F.coalesce(log_p(first.cast("long")) - log_p(first.cast("long") + way), F.lit(0.0))
-    reach = F.least(F.abs(last - first), F.ceil(40 * F.least(spread, 1 / F.greatest(drop, F.lit(1e-9))) + 50))
-    setting = F.struct(first.cast("long").alias("first"), way.alias("way"), reach.cast("long").alias("reach"), (F.floor(reach / POINTS) + 1).cast("long").alias("h"))
-
-    def total(t: Column) -> Column:
-        at = lambda i: F.exp(log_p(t["first"] + t["way"] * i))
-        points = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(t["reach"] / t["h"])), lambda i: at(i * t["h"]))
-        own = F.aggregate(points, F.lit(0.0), lambda acc, x: acc + x)
-        start = at(F.lit(0).cast("long"))
-        log_at = lambda i: log_p(t["first"] + t["way"] * F.lit(i))
-        rate = F.coalesce((log_at(1) - log_at(-1)) / 2, log_at(1) - log_at(0), F.lit(0.0))
-        h = t["h"].cast("double")
-        ends = start * rate * ((h * h - 1) / 12 - (h * h * h * h - 1) / 720 * rate * rate)
-        return F.when(t["h"] == 1, own).otherwise(h * (own - start / 2) + start / 2 + ends)
-
-    return let(setting, total)
+def around(low: Column, high: Column, mean: Column, spread: Column) -> tuple[Column, Column]:
+    """The part of low .. high that is near enough to the mean to count."""
+    return F.greatest(low.cast("long"), (mean - REACH * spread - 50).cast("long")), F.least(high.cast("long"), (mean + REACH * spread + 50).cast("long"))
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column, relative: bool = True) -> Column:
     """Two-sided exact p of [[a, b], [c, d]]: all tables as unlikely or more. A relative or an absolute tolerance counts ties in.
 
-    Both tails start where tables become as unlikely, which a binary search on each side of the mode finds.
+    Tables further than REACH deviations from the mean are less likely than the least double: an array holds some root of n terms.
     """
-    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
     r, k, n = a + b, a + c, a + b + c + d
     fixed = ln_factorial(r) + ln_factorial(n - r) + ln_factorial(k) + ln_factorial(n - k) - ln_factorial(n)
-    low, high = F.greatest(F.lit(0).cast("long"), r + k - n), F.least(r, k)
-    mode = F.least(high, F.greatest(low, F.floor((r + 1) * (k + 1) / (n + 2))))
-    size = F.greatest(n, F.lit(1))
-    spread = F.sqrt(r / size * k * (n - r) / size * (n - k) / F.greatest(n - 1, F.lit(1)))
-    table = F.struct(*(x.alias(m) for m, x in {"fixed": fixed, "r": r, "k": k, "n": n, "a": a, "low": low, "high": high, "mode": mode, "spread": spread}.items()))
+    low, high = around(F.greatest(F.lit(0), r + k - n), F.least(r, k), r * k / F.greatest(n, F.lit(1)), F.sqrt(r / F.greatest(n, F.lit(1)) * k * (n - r) / F.greatest(n, F.lit(1)) * (n - k) / F.greatest(n - 1, F.lit(1))))
 
     def body(s: Column) -> Column:
-        log_p = lambda x: s["fixed"] - ln_factorial(x) - ln_factorial(s["r"] - x) - ln_factorial(s["k"] - x) - ln_factorial(s["n"] - s["r"] - s["k"] + x)
-        own = F.exp(log_p(s["a"]))
+        p = lambda x: F.exp(s["fixed"] - ln_factorial(x) - ln_factorial(s["r"] - x) - ln_factorial(s["k"] - x) - ln_factorial(s["n"] - s["r"] - s["k"] + x))
+        own = p(s["a"])
         most = own * (1 + RELATIVE_TOLERANCE) if relative else own + ABSOLUTE_TOLERANCE
+        each = F.transform(F.sequence(s["low"], s["high"]), p)
+        return F.transform(F.array(F.struct(each.alias("each"), most.alias("most"))), lambda t: F.least(F.lit(1.0), F.aggregate(F.filter(t["each"], lambda q: q <= t["most"]), F.lit(0.0), lambda z, q: z + q)))[0]
 
-        def sums(most: Column) -> Column:
-            rare = lambda x: F.exp(log_p(x)) <= most
-
-            def outmost(size: Column, place) -> Column:
-                """How many steps from the outer end still are rare."""
-                steps = F.transform(F.sequence(F.ceil(F.log2(size + 2)).cast("int"), F.lit(0)), lambda e: F.pow(F.lit(2.0), e).cast("long"))
-                return F.aggregate(steps, F.lit(0).cast("long"), lambda at, step: F.when((at + step <= size) & rare(place(F.least(at + step, size) - 1)), at + step).otherwise(at))
-
-            left = let(outmost(s["mode"] - s["low"], lambda i: s["low"] + i), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(tail(log_p, s["low"] + m - 1, s["low"], s["spread"])))
-            right = let(outmost(s["high"] - s["mode"], lambda i: s["high"] - i), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(tail(log_p, s["high"] - m + 1, s["high"], s["spread"])))
-            return F.when(rare(s["mode"]), F.lit(1.0)).otherwise(F.least(F.lit(1.0), left + right))
-
-        return let(most, sums)
-
-    return let(table, body)
+    table = F.struct(fixed.alias("fixed"), r.alias("r"), k.alias("k"), n.alias("n"), a.alias("a"), low.alias("low"), high.alias("high"))
+    return F.transform(F.array(table), body)[0]
 
 
 def sign_test(positive: Column, negative: Column) -> Column:
-    """min(1, twice the lower tail) of a fair coin."""
-    return binomial_test(positive, negative, 0.5)
-
-
-def binomial_test(positive: Column, negative: Column, p: float) -> Column:
-    """min(1, twice the smaller tail) of `positive` hits in all, each with chance p."""
-    n, x = (positive + negative).cast("long"), positive.cast("long")
-    table = F.struct(n.alias("n"), x.alias("x"))
-
-    def body(t: Column) -> Column:
-        log_p = lambda i: ln_factorial(t["n"]) - ln_factorial(i) - ln_factorial(t["n"] - i) + i * math.log(p) + (t["n"] - i) * math.log(1 - p)
-        spread = F.sqrt(t["n"] * (p * (1 - p)))
-        # the tail on the far side of the mean is the smaller one
-        below = t["x"] <= t["n"] * p
-        return F.least(F.lit(1.0), 2 * tail(log_p, t["x"], F.when(below, F.lit(0).cast("long")).otherwise(t["n"]), spread))
-
-    return F.when(n == 0, F.lit(1.0)).otherwise(let(table, body))
+    """min(1, twice the lower tail) of a fair coin. Terms ten deviations under the first don't matter."""
+    n, k = positive + negative, F.least(positive, negative)
+    first = F.greatest(F.lit(0).cast("long"), (k - 5 * F.sqrt(n) - 50).cast("long"))
+    terms = F.transform(F.sequence(first, k), lambda i: F.exp(ln_factorial(n) - ln_factorial(i) - ln_factorial(n - i) - n * math.log(2)))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:

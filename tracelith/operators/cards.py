@@ -92,23 +92,18 @@ def local_motifs(traces: DataFrame, low: int = 1, high: int = 3, least_class: in
 
 
 def exact_difference(s: Column, f: Column, n: Column, m: Column) -> Column:
-    """Share of the deals of s + f marks to n and m rows whose rates differ by as much as s / n and f / m do: two tails."""
-    s, f, n, m = (x.cast("long") for x in (s, f, n, m))
+    """Share of the deals of s + f marks to n and m rows whose rates differ by as much as s / n and f / m do."""
     k, total = s + f, n + m
     fixed = stats.ln_factorial(n) + stats.ln_factorial(m) + stats.ln_factorial(k) + stats.ln_factorial(total - k) - stats.ln_factorial(total)
-    spread = F.sqrt(n / total * k * m / total * (total - k) / F.greatest(total - 1, F.lit(1)))
-    seen = F.abs(s * m - f * n)
-    # x marks for n: x * m - (k - x) * n is x * total - k * n
-    up, down = F.ceil((k * n + seen) / total), F.floor((k * n - seen) / total)
-    row = F.struct(*(x.alias(c) for c, x in {"fixed": fixed, "k": k, "n": n, "m": m, "seen": seen, "up": up, "down": down, "low": F.greatest(F.lit(0).cast("long"), k - m), "high": F.least(n, k), "spread": spread}.items()))
+    low, high = stats.around(F.greatest(F.lit(0), k - m), F.least(n, k), k * n / total, F.sqrt(n / total * k * m / total * (total - k) / F.greatest(total - 1, F.lit(1))))
+    row = F.struct(fixed.alias("fixed"), k.alias("k"), n.alias("n"), m.alias("m"), F.abs(s * m - f * n).alias("seen"), low.alias("low"), high.alias("high"))
 
     def body(t: Column) -> Column:
-        log_p = lambda x: t["fixed"] - stats.ln_factorial(x) - stats.ln_factorial(t["n"] - x) - stats.ln_factorial(t["k"] - x) - stats.ln_factorial(t["m"] - t["k"] + x)
-        right = F.when(t["up"] > t["high"], F.lit(0.0)).otherwise(stats.tail(log_p, t["up"], t["high"], t["spread"]))
-        left = F.when(t["down"] < t["low"], F.lit(0.0)).otherwise(stats.tail(log_p, t["down"], t["low"], t["spread"]))
-        return F.when(t["seen"] == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), left + right))
+        far = F.filter(F.sequence(t["low"], t["high"]), lambda x: F.abs(x * t["m"] - (t["k"] - x) * t["n"]) >= t["seen"])
+        p = F.transform(far, lambda x: F.exp(t["fixed"] - stats.ln_factorial(x) - stats.ln_factorial(t["n"] - x) - stats.ln_factorial(t["k"] - x) - stats.ln_factorial(t["m"] - t["k"] + x)))
+        return F.least(F.lit(1.0), F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
 
-    return stats.let(row, body)
+    return F.transform(F.array(row), body)[0]
 
 
 def local_lists(local: DataFrame, k: int = 10, q: float = 0.10) -> DataFrame:
