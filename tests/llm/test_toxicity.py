@@ -73,3 +73,41 @@ def test_a_passage_counts_wherever_it_stands():
         logits, start, n, _ = net.logits(T.read([("pad " * shift + passage + " pad" * 30).encode()]))
         assert list(start) == list(range(shift + 31)) and (n == T.WINDOW).all()
         assert np.abs(logits - alone).min() < 1e-4
+
+
+def test_held_out_ranking_on_the_labels():
+    """AUC over the held-out labelled documents of the tables, from a network trained on the others."""
+    import os
+
+    import pandas as pd
+
+    data = os.environ.get("TEST_TOXIC_DIR", "/root/testdata/sf0.1")
+    rows = pd.read_parquet(f"{data}/documents.parquet").merge(pd.read_parquet(f"{data}/labels.parquet"), on="doc_id").drop_duplicates("doc_id")
+    held = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    sample = rows[~held].groupby("toxic").head(500)
+    net = T.train([t.encode() for t in sample.text.fillna("")], (sample.toxic == 1).to_numpy())
+    rest = rows[held]
+    before = net.char.copy()
+    scores = pd.Series(net.scores(T.read([t.encode() for t in rest.text.fillna("")])))
+    toxic, ranks = (rest.toxic == 1).to_numpy(), scores.rank().to_numpy()
+    auc = (ranks[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.9 and (before == net.char).all() and np.abs(net.char - T.Network(2).char)[:, 1:].max() > 0.01
+
+
+def test_character_slopes_match_differences():
+    net, r = T.Network(5), np.random.default_rng(6)
+    t = T.read([b"hello wonderful worlds"])
+    used = np.arange(len(t.buckets))
+    spelled = net.spelled(t, used)
+    slope = r.normal(0, 1, spelled[3].shape).astype(np.float32)
+    before = net.char.copy()
+    net.learn_grams(spelled, slope)
+    change = before - net.char
+    for g in np.unique(spelled[0])[:12]:
+        for c in range(T.CHAR_DIM):
+            net.char = before.copy()
+            net.char[g, c] += 1e-3
+            up = (net.spelled(t, used)[3] * slope).sum()
+            net.char[g, c] -= 2e-3
+            down = (net.spelled(t, used)[3] * slope).sum()
+            assert abs((up - down) / 2e-3 - change[g, c]) < 2e-2

@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word goes in as a learned vector of its hash bucket (word input) and the mean and maximum of those
-of fixed ones of its character 3- to 5-grams (character input); the first component of each starts as the log-odds
-of the bucket in the labelled sample. The network reads all overlapping windows of WINDOW words, one from
-each word on, over the whole text; attention pools the states of both directions. A
+A word goes in as a learned vector of its hash bucket (word input) and the mean and maximum of the
+learned vectors of its character 3- to 5-grams (character input); the first component of each starts as
+the log-odds of the bucket in the labelled sample. The network reads all overlapping windows of WINDOW
+words, one from each word on, over the whole text; attention pools the states of both directions. A
 document is as toxic as its most toxic window; training takes each document's most toxic window under
 the model so far, and a random one of the clean documents.
 
@@ -24,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelith.llm.arrays import RangeHash, byte_values, chunks, gather, mix, ragged, word_ranges
-from tracelith.llm.run import documents, small_batches
+from tracelith.llm.arrays import RangeHash, gather, mix, ragged, word_ranges
+from tracelith.llm.run import documents, slices, small_batches
 
-WINDOW, STRIDE = 24, 1
+WINDOW, STRIDE = 16, 1
 TOXIC, CLEAN = 700, 1600
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 6, 6, 8, 8
 INPUT = WORD_DIM + 2 * CHAR_DIM
 GRAMS = (3, 4, 5)
 ROUNDS, PASSES, BATCH, RATE = 3, 3, 192, 0.015
-CHUNK = 4_000_000
+BLOCK = 4096
 #: Log-odds of buckets that few texts hold shrink: they tell the sample's texts apart, not toxic from clean.
 RARE = 8
 #: Letters of scripts beyond ASCII count as they are; ASCII is lower-cased and its marks are no part of a word.
@@ -45,6 +45,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-x))
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    """Softsign, the network's bounded function: it takes an eighth of the time of tanh. Gates are half of one plus it."""
+    return x / (1 + np.abs(x))
+
+
+def gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * squash(x)
+
+
+def slope(y: np.ndarray) -> np.ndarray:
+    """Of squash, where it is y; of a gate it is half of this, at twice the gate less one."""
+    return (1 - np.abs(y)) ** 2
+
+
 @dataclass
 class Text:
     """Distinct words of some texts, the words of each text, and the buckets of each distinct word and its n-grams."""
@@ -52,16 +66,15 @@ class Text:
     words: np.ndarray
     bounds: np.ndarray
     buckets: np.ndarray
-    grams: np.ndarray
-    gram_words: np.ndarray  # which word an n-gram is of, rising
-    char: np.ndarray | None = None  # the character input, once computed
+    grams: np.ndarray  # word by word
+    gram_starts: np.ndarray  # where each word's n-grams start, with the end last; no word is without
 
 
 def read(texts: list[bytes]) -> Text:
     raw, starts, _ = ragged(t.lower() for t in texts)
     raw = np.where(MARK[raw], np.uint8(32), raw)
     at, n, bounds = word_ranges(raw, np.r_[starts, len(raw)])
-    hashes, first, words = np.unique(RangeHash(byte_values(raw), 6)(at, n), return_index=True, return_inverse=True)
+    hashes, first, words = np.unique(RangeHash(raw, 6)(at, n), return_index=True, return_inverse=True)
     # distinct words with a mark on both sides
     spelled, ends = gather(raw, at, n, first)
     size = n[first] + 2
@@ -75,13 +88,13 @@ def read(texts: list[bytes]) -> Text:
     bucket = lambda h: (mix(h, 9) % np.uint64(BUCKETS)).astype(np.int32)
     grams, gram_words = [], []
     for g in GRAMS:
-        whole = RangeHash(byte_values(flat), 7).fixed(g)
+        whole = RangeHash(flat, 7).fixed(g)
         ok = owner[: len(whole)] == owner[g - 1 :][: len(whole)] if len(whole) else np.zeros(0, bool)
         grams.append(bucket(whole[ok]))
         gram_words.append(owner[: len(whole)][ok].astype(np.int32))
     g, w = np.concatenate(grams), np.concatenate(gram_words)
     order = np.argsort(w, kind="stable")
-    return Text(words.astype(np.int32), bounds, bucket(hashes), g[order], w[order])
+    return Text(words.astype(np.int32), bounds, bucket(hashes), g[order], np.searchsorted(w[order], np.arange(len(hashes) + 1)))
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,20 +118,26 @@ class Network:
             self.p |= {f"W{d}": init(INPUT, 3 * HIDDEN), f"U{d}": init(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.shift = 0.0
 
-    def inputs(self, t: Text) -> np.ndarray:
+    def spelled(self, t: Text, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: their n-grams end to end, those of each word, their vectors, and the words' character input."""
+        count = np.diff(t.gram_starts)
+        grams, ends = gather(t.grams, t.gram_starts[:-1], count, words)
+        values, begin = self.char[grams], ends - count[words]
+        if not len(words):
+            return grams, count[words], values, np.zeros((0, 2 * CHAR_DIM), np.float32)
+        return grams, count[words], values, np.concatenate([np.add.reduceat(values, begin) / count[words][:, None], np.maximum.reduceat(values, begin)], 1).astype(np.float32)
+
+    def inputs(self, t: Text, size: int = 20_000) -> np.ndarray:
         """A vector for each distinct word."""
-        if t.char is None:
-            t.char = np.zeros((len(t.buckets), 2 * CHAR_DIM), np.float32)
-            if len(t.grams):
-                first = np.flatnonzero(np.r_[True, t.gram_words[1:] != t.gram_words[:-1]])
-                last = np.r_[first[1:], len(t.grams)]
-                for i in range(0, len(first), 20_000):
-                    begin, end = first[i : i + 20_000], last[i : i + 20_000]
-                    values = self.char[t.grams[begin[0] : end[-1]]]
-                    owner = t.gram_words[begin]
-                    t.char[owner, :CHAR_DIM] = np.add.reduceat(values, begin - begin[0]) / (end - begin)[:, None]
-                    t.char[owner, CHAR_DIM:] = np.maximum.reduceat(values, begin - begin[0])
-        return np.concatenate([self.word[t.buckets], t.char], 1)
+        parts = [self.spelled(t, np.arange(i, min(i + size, len(t.buckets))))[3] for i in range(0, len(t.buckets), size)]
+        return np.concatenate([self.word[t.buckets], np.concatenate(parts) if parts else np.zeros((0, 2 * CHAR_DIM), np.float32)], 1)
+
+    def learn_grams(self, spelled: tuple, slope: np.ndarray) -> None:
+        """Carries the slope of words' character input to their n-grams: an equal part of the mean's, and all of the maximum's to where it stands."""
+        grams, count, values, char = spelled
+        word = np.repeat(np.arange(len(count)), count)
+        top = values == char[word, CHAR_DIM:]
+        np.subtract.at(self.char, grams, (slope[:, :CHAR_DIM] / count[:, None])[word] + top * slope[word, CHAR_DIM:])
 
     def forward(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict]:
         """Logits of windows, x (windows, WINDOW, INPUT) with n words each, and what the gradients need."""
@@ -131,13 +150,13 @@ class Network:
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 on = (t < n)[:, None]
                 hu = h @ p[f"U{d}"]
-                zr = sigmoid(xw[:, t, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+                zr = gate(xw[:, t, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                c = np.tanh(xw[:, t, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+                c = squash(xw[:, t, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
                 saved[d, t] = (h, z, r, c, hu[:, 2 * HIDDEN :], on)
                 h = np.where(on, (1 - z) * c + z * h, h)
                 states[:, t, j * HIDDEN : (j + 1) * HIDDEN] = h
-        u = np.tanh(states @ p["A"])
+        u = squash(states @ p["A"])
         e = np.where(np.arange(steps) < n[:, None], u @ p["v"], -1e9)
         a = np.exp(e - e.max(1, keepdims=True))
         a /= a.sum(1, keepdims=True)
@@ -145,43 +164,45 @@ class Network:
         pooled = np.einsum("bt,bth->bh", a, both)
         return pooled @ p["o"] + p["c"][0], saved | {"u": u, "a": a, "both": both, "pooled": pooled, "x": x}
 
-    def compiled(self) -> dict[str, np.ndarray]:
-        """Both directions side by side: gates of z, r and c, each for forward and backward."""
-        p, h = self.p, HIDDEN
-        w, b, u = np.zeros((INPUT, 6 * h), np.float32), np.zeros(6 * h, np.float32), np.zeros((2 * h, 6 * h), np.float32)
-        for j, d in enumerate("fb"):
-            for gate in range(3):
-                here, there = slice((2 * gate + j) * h, (2 * gate + j + 1) * h), slice(gate * h, (gate + 1) * h)
-                w[:, here], b[here], u[j * h : (j + 1) * h, here] = p[f"W{d}"][:, there], p[f"b{d}"][there], p[f"U{d}"][:, there]
-        return {"w": w, "b": b, "u": u}
-
-    def evaluate(self, gates: list[np.ndarray], plain: np.ndarray, words: np.ndarray, n: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Logits alone, from each distinct word's gate inputs and its part of the logit. words: (windows, WINDOW)."""
-        p, k, size = self.p, HIDDEN, len(words)
-        whole = bool((n == WINDOW).all())
-        states = np.empty((WINDOW, size, 2 * k), np.float32)
-        h = np.zeros((size, 2 * k), np.float32)
-        forward = np.repeat([True, False], k)
-        ahead, behind = gates
-        x = np.empty((size, 6 * k), np.float32)
-        both = x.reshape(size, 3, 2, k)
+    def gates(self, x: np.ndarray) -> list[np.ndarray]:
+        """What each distinct word adds to the gates, forward and backward."""
+        return [x @ self.p[f"W{d}"] + self.p[f"b{d}"] for d in "fb"]
+
+    def evaluate(self, gates: list[np.ndarray], plain: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Logits of the whole windows that start at each word but the last WINDOW - 1. Neighbouring windows read the same gate inputs, one place on."""
+        p, k, size = self.p, HIDDEN, len(words) - WINDOW + 1
+        u = {d: np.ascontiguousarray(p[f"U{d}"].T) for d in "fb"}
+        g = {d: np.ascontiguousarray(x[words].T) for d, x in zip("fb", gates, strict=True)}
+        value = plain[words]
+        a, o = np.ascontiguousarray(p["A"].T), p["o"]
+
+        def step(d: str, t: int, h: np.ndarray) -> np.ndarray:
+            uh, x = u[d] @ h, g[d][:, t : t + size]
+            zr, c = uh[: 2 * k], uh[2 * k :]
+            zr += x[: 2 * k]
+            zr /= 1 + np.abs(zr)
+            zr *= 0.5
+            zr += 0.5
+            c *= zr[k:]
+            c += x[2 * k :]
+            c /= 1 + np.abs(c)
+            new = h - c
+            new *= zr[:k]
+            new += c
+            return new
+
+        ahead, h = [], np.zeros((k, size), np.float32)
         for t in range(WINDOW):
-            back = WINDOW - 1 - t
-            both[:, :, 0], both[:, :, 1] = ahead[words[:, t]], behind[words[:, back]]
-            hu = h @ u
-            zr = sigmoid(x[:, : 4 * k] + hu[:, : 4 * k])
-            z = zr[:, : 2 * k]
-            c = np.tanh(x[:, 4 * k :] + zr[:, 2 * k :] * hu[:, 4 * k :])
-            new = c + z * (h - c)
-            h = new if whole else np.where(np.where(forward, (t < n)[:, None], (back < n)[:, None]), new, h)
-            states[t, :, :k] = h[:, :k]
-            states[back, :, k:] = h[:, k:]
-        e = (np.tanh(states @ p["A"]) @ p["v"]).T
-        if not whole:
-            e = np.where(np.arange(WINDOW) < n[:, None], e, -1e9)
-        a = np.exp(e - e.max(1, keepdims=True))
-        value = (states @ p["o"][: 2 * k]).T + plain[words]
-        return (a * value).sum(1) / a.sum(1) + p["c"][0]
+            h = step("f", t, h)
+            ahead.append(h)
+        h, above, below = np.zeros((k, size), np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32)
+        for t in reversed(range(WINDOW)):
+            h = step("b", t, h)
+            both = np.concatenate([ahead[t], h])
+            weight = np.exp(np.minimum(p["v"] @ squash(a @ both), 60))
+            above += weight * (o[: 2 * k] @ both + value[t : t + size])
+            below += weight
+        return above / below + p["c"][0]
 
     def gradients(self, g: np.ndarray, s: dict) -> tuple[dict, np.ndarray]:
         """Of the parameters and of x, given the gradient of each logit."""
@@ -193,7 +214,7 @@ class Network:
         da = np.einsum("bth,bh->bt", s["both"], dpooled)
         de = s["a"] * (da - (s["a"] * da).sum(1, keepdims=True))
         out["v"] = np.einsum("bt,btk->k", de, s["u"])
-        du = de[:, :, None] * p["v"] * (1 - s["u"] ** 2)
+        du = de[:, :, None] * p["v"] * slope(s["u"])
         states = s["both"][:, :, : 2 * HIDDEN]
         out["A"] = np.einsum("bth,btk->hk", states, du)
         dstates = dboth[:, :, : 2 * HIDDEN] + du @ p["A"].T
@@ -205,9 +226,9 @@ class Network:
                 h, z, r, c, hun, on = s[d, t]
                 dh = dh + dstates[:, t, j * HIDDEN : (j + 1) * HIDDEN]
                 live = np.where(on, dh, 0)
-                dc = live * (1 - z) * (1 - c**2)
-                dz = live * (h - c) * z * (1 - z)
-                dr = dc * hun * r * (1 - r)
+                dc = live * (1 - z) * slope(c)
+                dz = live * (h - c) * slope(2 * z - 1) / 2
+                dr = dc * hun * slope(2 * r - 1) / 2
                 dg = np.concatenate([dz, dr, dc], 1)
                 dhu = np.concatenate([dz, dr, dc * r], 1)
                 out[f"U{d}"] += h.T @ dhu
@@ -217,18 +238,21 @@ class Network:
                 dh = np.where(on, live * z, dh) + dhu @ U.T
         return out, dx
 
-    def logits(self, t: Text, size: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of every window, with its first word, number of words and text. Whole windows go first, for they need no masks."""
+    def logits(self, t: Text, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window, with its first word, number of words and text. Texts shorter than a window go through the training pass, which masks."""
         start, n, text = windows(t.bounds)
-        x, c = self.inputs(t), self.compiled()
-        split = (x @ c["w"] + c["b"]).reshape(-1, 3, 2, HIDDEN)
-        gates, plain = [np.ascontiguousarray(split[:, :, j]) for j in (0, 1)], x @ self.p["o"][2 * HIDDEN :]
-        out = np.zeros(len(start), np.float32)
-        order = np.argsort(n != WINDOW, kind="stable")
-        for i in range(0, len(start), size):
-            part = order[i : i + size]
-            at = np.minimum(start[part, None] + np.arange(WINDOW), len(t.words) - 1)
-            out[part] = self.evaluate(gates, plain, t.words[at], n[part], c["u"])
+        x, out = self.inputs(t), np.zeros(len(start), np.float32)
+        gates, plain = self.gates(x), x @ self.p["o"][2 * HIDDEN :]
+        whole, short = np.flatnonzero(n == WINDOW), np.flatnonzero(n != WINDOW)
+        # windows across two texts are computed along and left out
+        for i in range(0, len(t.words) - WINDOW + 1, size):
+            a, b = np.searchsorted(start[whole], (i, i + size))
+            if b > a:
+                part = whole[a:b]
+                out[part] = self.evaluate(gates, plain, t.words[i : i + size + WINDOW - 1])[start[part] - i]
+        for i in range(0, len(short), size):
+            part = short[i : i + size]
+            out[part] = self.forward(x[t.words[np.minimum(start[part, None] + np.arange(WINDOW), len(t.words) - 1)]], n[part])[0]
         return out, start, n, text
 
     def scores(self, t: Text) -> np.ndarray:
@@ -260,12 +284,11 @@ class Odds:
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 2) -> Network:
     net, r, t = Network(seed), np.random.default_rng(seed), read(texts)
     words, grams = Odds(toxic), Odds(toxic)
-    starts = np.searchsorted(t.gram_words, np.arange(len(t.buckets) + 1))
     for i in range(0, len(texts), 32):
         at = np.arange(t.bounds[i], t.bounds[min(i + 32, len(texts))])
         text = np.searchsorted(t.bounds, at, "right") - 1
         words.add(t.buckets[t.words[at]], text)
-        found, ends = gather(t.grams, starts[:-1], np.diff(starts), t.words[at])
+        found, ends = gather(t.grams, t.gram_starts[:-1], np.diff(t.gram_starts), t.words[at])
         grams.add(found, np.repeat(text, np.diff(np.r_[0, ends])))
     net.word[:, 0], net.char[:, 0] = words.values() / 4, grams.values() / 4
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -279,11 +302,12 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 2) -> Network:
         chosen = np.concatenate([best, r.permutation(other)[: len(best)]])
         for _ in range(PASSES):
             r.shuffle(chosen)
-            x = net.inputs(t)
             for i in range(0, len(chosen), BATCH):
                 c = chosen[i : i + BATCH]
-                words = t.words[np.minimum(start[c, None] + np.arange(WINDOW), len(t.words) - 1)]
-                out, saved = net.forward(x[words], n[c])
+                used, words = np.unique(t.words[np.minimum(start[c, None] + np.arange(WINDOW), len(t.words) - 1)], return_inverse=True)
+                words = words.reshape(len(c), WINDOW)
+                spelled = net.spelled(t, used)
+                out, saved = net.forward(np.concatenate([net.word[t.buckets[used]], spelled[3]], 1)[words], n[c])
                 g = ((sigmoid(out) - toxic[text[c]]) * weight[text[c]] / len(c)).astype(np.float32)
                 grads, dx = net.gradients(g, saved)
                 seen += 1
@@ -293,7 +317,10 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 2) -> Network:
                     m[1] += 0.001 * (v * v - m[1])
                     net.p[k] -= RATE * (m[0] / (1 - 0.9**seen)) / (np.sqrt(m[1] / (1 - 0.999**seen)) + 1e-8)
                 on = np.arange(WINDOW) < n[c][:, None]
-                np.subtract.at(net.word, t.buckets[words[on]], 0.5 * dx[on][:, :WORD_DIM])
+                change = np.zeros((len(used), INPUT), np.float32)
+                np.add.at(change, words[on], 0.5 * dx[on])
+                np.subtract.at(net.word, t.buckets[used], change[:, :WORD_DIM])
+                net.learn_grams(spelled, change[:, WORD_DIM:])
     # the decision threshold that errs least on the sample becomes 0.5
     logits, _, _, text = net.logits(t)
     best = np.full(len(texts), -30.0)
@@ -330,15 +357,12 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, score, predicted for every row: a map, the network goes along with the tasks."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            out = [model.scores(read(part)) if model else np.zeros(len(part)) for part in chunks(texts, len, CHUNK)]
-            scores = np.concatenate(out) if out else np.zeros(0)
+        for batch in slices(batches):
+            scores = shared.value.scores(read([t.encode() for t in batch.column("text").to_pylist()])) if shared.value else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -346,15 +370,13 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose texts score under 0.5."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            out = [model.scores(read(part)) if model else np.zeros(len(part)) for part in chunks(texts, len, CHUNK)]
-            yield batch.filter(pa.array(np.concatenate(out) < 0.5 if out else np.zeros(0, bool)))
+        for batch in slices(batches):
+            keep = shared.value.scores(read([(t or "").encode() for t in batch.column("text").to_pylist()])) < 0.5 if shared.value else np.ones(batch.num_rows, bool)
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
