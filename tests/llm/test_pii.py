@@ -62,3 +62,54 @@ def test_terms_on_other_lines_and_in_other_documents(spark):
     assert got[3].text == "Name: [TERM]\nnote 3\nEmail: [EMAIL]\n" + "far away " * 30 + "[TERM] again" and got[3].n_term == 2
     assert got[8].text == "[TERM] called" and got[8].spans == "term:0:8" and got[8].n_email == 0
     assert got[15].text == dict(rows)[15] and got[15].spans == ""
+
+
+def test_time_grows_with_the_spans(spark):
+    """20,000 addresses in one text, all of them where plain Python finds them."""
+    text = " ".join(f"u{i}@mail{i % 7}.org" for i in range(20_000))
+    got = find(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    one = next(x for x in got if x.doc_id == 1)
+    assert one.n_email == 20_000 and one.base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+
+
+def disclosed(rows, support=3, share=0.8, bits=4.0):
+    """Terms by plain Python: words outside base spans, judged by the documents that hold them."""
+    import math
+
+    docs = []
+    for _, t in rows:
+        t = t or ""
+        spans = [tuple(map(int, s.split(":")[1:])) for s in brute(t)]
+        entities = {t[a:b].lower() for a, b in spans}
+        plain = "".join("\x01" if any(a <= i < b for a, b in spans) else c for i, c in enumerate(t))
+        docs.append((t, entities, {m[0].lower() for m in re.finditer(r"(?<![^\W_]|\x01)[^\W_]{3,}+(?!\x01)", plain) if not (m.start() and plain[m.start() - 1] == "\x01")}))
+    out = set()
+    for e in {e for _, es, _ in docs for e in es}:
+        having = sum(e in es for _, es, _ in docs)
+        for w in {w for _, es, ws in docs if e in es for w in ws}:
+            both, holding = [t for t, es, ws in docs if e in es and w in ws], sum(w in ws for _, _, ws in docs)
+            if len(set(both)) >= support and len(both) / holding >= share and math.log2(len(both) / holding * len(docs) / having) >= bits:
+                out.add(w)
+    return out
+
+
+def test_terms_against_plain_python(spark):
+    r = random.Random(9)
+    people = [(f"name{i}", f"n{i}@mail.org") for i in range(12)]
+    rows = []
+    for i in range(400):
+        words = [f"w{r.randrange(150):03d}" for _ in range(r.randrange(3, 25))]
+        if r.random() < 0.35:
+            name, mail = r.choice(people)
+            words += [mail] + [name.title()] * (r.random() < 0.9) + [people[0][0]] * (r.random() < 0.05)
+        elif r.random() < 0.06:
+            words.append(r.choice(people)[0])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(i, rows[7][1]) for i in range(500, 520)] + [(900, None)]
+    want = disclosed(rows)
+    assert 3 < len(want) < 30
+    for x in find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = dict(rows)[x.doc_id] or ""
+        terms = [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("term")]
+        assert terms == [m.span() for m in re.finditer(r"\w+", t) if m[0].lower() in want and not any(a <= m.start() < b for a, b in (tuple(map(int, s.split(":")[1:])) for s in brute(t)))]
