@@ -66,3 +66,11 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_ids_and_a_very_long_text(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefghij ") for _ in range(1_500_000))
+    rows = [(1, long), (None, "x" + long[5000:5300] + "y"), (None, "short"), (2, None)]
+    got = {(x.doc_id, x.n_bytes): (x.n_removed, x.n_spans) for x in drop_repeats(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, id int")).collect()}
+    assert got == {(1, 1_500_000): (300, 1), (None, 302): (300, 1), (None, 5): (0, 0), (2, 0): (0, 0)}

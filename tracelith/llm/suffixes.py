@@ -10,7 +10,8 @@ recurse on their names, merge the remaining suffixes, then compare adjacent pref
 more stretches than a task should hold have their windows counted by two hashes instead.
 
 Null and empty texts have no bytes. Matches never cross documents. Rows are documents of their own,
-whatever their doc_id: a repeated row repeats all its strings.
+whatever their doc_id, or without one: a repeated row repeats all its strings. Columns besides doc_id
+and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelith.llm.arrays import RangeHash, byte_values, chunks, gather, owned_anchors, ragged
-from tracelith.llm.run import Scratch, documents, small_batches
+from tracelith.llm.arrays import RangeHash, gather, owned_anchors, ragged
+from tracelith.llm.run import Scratch, documents, slices, small_batches
 
 LEAST, SEED_BYTES = 200, 64
 MOST_STRETCHES, MOST_BYTES = 2000, 1 << 20
@@ -109,27 +110,20 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
-    names = batch.schema.names
-    return chunks(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), lambda r, i=names.index("text"): len(r[i]), 2_000_000)
-
-
 def seeds(texts: DataFrame, least: int, k: int) -> DataFrame:
     """seed, stretch (two hashes in one row), doc_id, h, at, n of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in rows_of(batch):
-                raw, starts, lengths = ragged(r[2] for r in rows)
-                bounds = np.r_[starts, len(raw)]
-                values = byte_values(raw)
-                grams = RangeHash(values, 21)
-                place, first, n = owned_anchors(grams.fixed(k), bounds, k, least)
-                stretch = RangeHash(values, 22)(first, n + least - 1) + (place - first).astype(np.uint64)
-                doc = np.searchsorted(bounds, first, "right") - 1
-                ids, hs = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-                seed = grams(place, np.full(len(place), k))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[doc]), pa.array(hs[doc]), pa.array((first - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "stretch", *KEY, "at", "n"])
+        for batch in slices(batches):
+            raw, starts, _ = ragged(batch.column("text").to_pylist())
+            bounds = np.r_[starts, len(raw)]
+            grams = RangeHash(raw, 21)
+            place, first, n = owned_anchors(grams.fixed(k), bounds, k, least)
+            stretch = RangeHash(raw, 22)(first, n + least - 1) + (place - first).astype(np.uint64)
+            doc = np.searchsorted(bounds, first, "right") - 1
+            ids, hs = (batch.column(c).to_numpy() for c in KEY)
+            seed = grams(place, np.full(len(place), k))
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[doc]), pa.array(hs[doc]), pa.array((first - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "stretch", *KEY, "at", "n"])
 
     return texts.mapInArrow(run, "seed long, stretch long, doc_id long, h long, at int, n int")
 
@@ -148,7 +142,7 @@ def repeats(texts: DataFrame, scratch: Scratch, least: int, k: int) -> DataFrame
     few = pieces.filter(F.col("kinds") <= MOST_STRETCHES).repartition("seed").sortWithinPartitions("seed")
     by_suffix = scratch.write(few.mapInArrow(lambda b: sorted_windows(b, least), "doc_id long, h long, at int, n int"), "by-suffix")
     many = scratch.write(counted_windows(pieces.filter(F.col("kinds") > MOST_STRETCHES), least), "windows")
-    again = many.groupBy("one", "two").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").select("one", "two")
+    again = scratch.write(many.groupBy("one", "two").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").select("one", "two"), "again")
     by_count = many.join(again, ["one", "two"], "left_semi").select(*KEY, "at", F.lit(1).alias("n"))
     return scratch.write(whole.union(by_suffix).union(by_count), "repeats")
 
@@ -190,32 +184,31 @@ def counted_windows(pieces: DataFrame, least: int) -> DataFrame:
     """doc_id, h, at, one, two: every window of the pieces with two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in rows_of(batch):
-                raw, starts, lengths = ragged(r[6] for r in rows)
-                n = lengths - (least - 1)
-                at, _ = gather(np.arange(len(raw)), starts, n, np.arange(len(rows)))
-                row = np.repeat(np.arange(len(rows)), n)
-                values, size = byte_values(raw), np.full(len(at), least)
-                ids, hs, first = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hs[row]), pa.array((first[row] + at - starts[row]).astype(np.int32)), *(pa.array(RangeHash(values, k)(at, size).view(np.int64)) for k in (23, 24))], [*KEY, "at", "one", "two"])
+        for batch in slices(batches):
+            raw, starts, lengths = ragged(batch.column("text").to_pylist())
+            n = lengths - (least - 1)
+            at, _ = gather(np.arange(len(raw)), starts, n, np.arange(len(n)))
+            row = np.repeat(np.arange(len(n)), n)
+            size = np.full(len(at), least)
+            ids, hs, first = (batch.column(c).to_numpy() for c in (*KEY, "at"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hs[row]), pa.array((first[row] + at - starts[row]).astype(np.int32)), *(pa.array(RangeHash(raw, k)(at, size).view(np.int64)) for k in (23, 24))], [*KEY, "at", "one", "two"])
 
     return pieces.select("seed", *KEY, "at", "times", "kinds", "text").mapInArrow(run, "doc_id long, h long, at int, one long, two long")
 
 
 def drop_repeats(docs: DataFrame, least: int = LEAST, k: int = SEED_BYTES, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `keep_bytes`, kept: the remaining bytes."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = documents(docs)
-    texts = rows.select("doc_id", F.xxhash64("text").alias("h"), F.encode("text", "UTF-8").alias("text"))
-    spans = repeats(texts, scratch, least, k).groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("at", "n"))).alias("spans"))
+    texts = rows.select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("h"), F.encode("text", "UTF-8").alias("text"))
+    spans = repeats(texts.drop("id"), scratch, least, k).groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("at", "n"))).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "spans")), strict=True):
                 kept, removed, n_spans = text, 0, 0
                 if found:
                     edges = np.zeros(len(text) + 1, np.int64)
