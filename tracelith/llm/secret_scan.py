@@ -2,13 +2,16 @@
 
 Candidates are strings of known credential formats (private keys with their header lines), values
 assigned to a credential's name, bare or in quotes, and long runs of key characters that mix letters
-with digits. A forest of decision trees, grown in numpy from
-labelled findings, tells secrets from the rest by the candidate's length and character transitions,
-how much of it dictionary words cover, its path, and the words before it.
-
-Findings are (candidate, words before, path, label). Without given findings, FINDINGS of them are
-made by a seeded rule; given ones are used whole, and bounded by their caller. Every text is scanned
-whole. Null and empty texts have no candidates. Repeated rows are treated alike.
+with digits. A forest of decision trees, grown in numpy from labelled findings, tells secrets from
+the rest by the candidate's length and character transitions, how much of it dictionary words cover,
+its path, and the words before and after it.
+
+The dictionary is the corpus's own: the DICTIONARY commonest words (letters alone, four or more, whole)
+of all texts that are held to be scanned, counted over all of them. Findings are (candidate, path,
+label). Without given findings, FINDINGS of them are made by a seeded rule out of public credential
+formats and dictionary words; given ones are used whole, and bounded by their caller. Every text is
+scanned whole. Null and empty texts have no candidates. Repeated rows are treated alike. Columns
+besides doc_id, text and source play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelith.llm.run import documents, small_batches
+from tracelith.llm.arrays import RangeHash, ragged
+from tracelith.llm.run import slices, small_batches, text_of
 
 FINDINGS, TREES, DEPTH, LEAST_LEAF, SEED = 4000, 40, 12, 3, 10
-BEFORE = 48
+BEFORE, AFTER = 48, 32
+#: So many of the commonest words, of LONGEST letters at most, each found LEAST_TIMES: the dictionary's size, and what is broadcast, is bounded by it.
+DICTIONARY, SHORTEST, LONGEST, LEAST_TIMES = 20_000, 4, 16, 5
 
 # Fixed formats: public credential formats of well-known services, and PEM private keys.
 KNOWN = {
@@ -44,7 +50,7 @@ KNOWN = {
 }
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key", "bearer")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "revision", "uuid", "guid", "id", "integrity", "etag", "version", "url", "http", "https", "image", "file", "path", "isbn", "order", "phone", "card", "call")
-DICTIONARY = ("example", "sample", "dummy", "test", "fake", "placeholder", "change", "your", "here", "insert", "default", "admin", "user", "name", "password", "secret", "token", "value", "config", "data", "file", "path", "list", "index", "string", "number", "function", "class", "object", "system", "service", "server", "client", "request", "response", "message", "error", "version", "update", "create", "delete", "handler", "manager", "controller", "the", "and", "for", "with", "tion", "ing", "ment", "able", "xxxx", "abcd", "1234", "0000")
+PLACEHOLDERS = ("example", "sample", "dummy", "test", "fake", "placeholder", "change", "your", "here", "insert", "default", "xxxx", "abcd", "1234", "0000")
 TEST_PATHS = ("test", "spec", "example", "sample", "fixture", "mock", "doc", "readme")
 
 CANDIDATE = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in KNOWN.items()), r"(?P<assigned>(?ai:\b[\w-]*(?:" + "|".join(NAMES) + r")[\w-]{0,30}[\"']?\]?\s{0,3}[:=]{1,2}>?\s{0,3})[\"']?(?P<value>[^\s\"'<>;,]{6,}))", r"(?P<run>[A-Za-z0-9_+/=-]{20,})"]))
@@ -61,6 +67,7 @@ class Finding:
     text: str
     before: str
     kind: str
+    after: str = ""
 
 
 def candidates(text: str) -> list[Finding]:
@@ -73,41 +80,77 @@ def candidates(text: str) -> list[Finding]:
         found = m[group].rstrip(".")
         if kind == "run" and not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)):
             continue
-        out.append(Finding(start, start + len(found), found, text[max(0, start - BEFORE) : start], kind))
+        out.append(Finding(start, start + len(found), found, text[max(0, start - BEFORE) : start], kind, text[start + len(found) : start + len(found) + AFTER]))
     return out
 
 
-def kind_of(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+#: Lower and upper case, digits, the rest.
+KIND_OF = {c: "a" if chr(c).islower() else "A" if chr(c).isupper() else "0" if chr(c).isdigit() else "-" for c in range(0x250)}
+LETTERS = re.compile(r"[a-z]{4,}")
+
+
+def covered(low: str, words: frozenset[str]) -> float:
+    """The share of characters that dictionary words cover, the longest word at each place."""
+    out = 0
+    for m in LETTERS.finditer(low):
+        run, at, end = m[0], 0, 0
+        for at in range(len(run) - SHORTEST + 1):
+            n = next((n for n in range(min(LONGEST, len(run) - at), SHORTEST - 1, -1) if run[at : at + n] in words), 0)
+            if at + n > end:
+                out += at + n - max(at, end)
+                end = at + n
+    return out / max(1, len(low))
 
 
-def features(f: Finding, path: str) -> list[float]:
+def features(f: Finding, path: str, words: frozenset[str] = frozenset()) -> list[float]:
     s, low = f.text, f.text.lower()
     n = len(s)
-    kinds = [kind_of(c) for c in s]
+    kinds = s.translate(KIND_OF)
     moves = Counter(zip(kinds, kinds[1:], strict=False))
     counts = Counter(s)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    covered = np.zeros(n, bool)
-    for w in DICTIONARY:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            at = low.find(w, at + 1)
-    words = [w.lower() for w in SPLIT.split(f.before) if w][-4:]
-    tail = " ".join(words)
+    ahead, behind = ([w.lower() for w in SPLIT.split(x) if w] for x in (f.before, f.after))
+    ahead, behind = ahead[-4:], behind[:4]
+    tail = " ".join(ahead)
     steps = max(1, n - 1)
     return [
-        min(n, 400), entropy, entropy / max(1.0, math.log2(min(n, 64))), len(counts) / n, *(kinds.count(k) / n for k in range(4)),
-        sum(v for (a, b), v in moves.items() if a != b) / steps, moves[0, 2] / steps, moves[2, 0] / steps, moves[0, 1] / steps, moves[1, 0] / steps, moves[2, 2] / steps, moves[0, 0] / steps,
-        max((len(r) for r in re.findall(r"[a-z]+", s)), default=0), covered.mean(), sum(a == b for a, b in zip(s, s[1:], strict=False)) / steps, abs(sum(ord(b) - ord(a) == 1 for a, b in zip(s, s[1:], strict=False))) / steps,
+        min(n, 400), entropy, entropy / max(1.0, math.log2(min(n, 64))), len(counts) / n, *(kinds.count(k) / n for k in "aA0-"),
+        sum(v for (a, b), v in moves.items() if a != b) / steps, moves["a", "0"] / steps, moves["0", "a"] / steps, moves["a", "A"] / steps, moves["A", "a"] / steps, moves["0", "0"] / steps, moves["a", "a"] / steps,
+        max((len(r) for r in re.findall(r"[a-z]+", s)), default=0), covered(low, words), sum(a == b for a, b in zip(s, s[1:], strict=False)) / steps, sum(ord(b) - ord(a) == 1 for a, b in zip(s, s[1:], strict=False)) / steps,
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", s))), float(n in (32, 40, 64)), s.count("/") / n, s.count("_") + s.count("-"),
-        float(any(w in tail for w in NAMES)), float(any(w in HARMLESS for w in words)), float(bool(re.search(r"[:=]>?\s*[\"']?$", f.before))), float(f.before[-1:] in ("'", '"')), float(f.before[-1:] in ("/", ".", "@")),
-        float(f.kind in KNOWN), float(f.kind == "assigned"), float(f.kind == "pem"), float(any(p in path.lower() for p in TEST_PATHS)), float("${" in s or "<" in s or "(" in s),
+        float(any(w in tail for w in NAMES)), float(any(w in HARMLESS for w in ahead)), float(bool(re.search(r"[:=]>?\s*[\"']?$", f.before))), float(f.before[-1:] in ("'", '"')), float(f.before[-1:] in ("/", ".", "@")),
+        float(any(w in HARMLESS for w in behind)), float(any(w in NAMES for w in behind)), float(f.after[:1] in ("'", '"')), float(f.after[:1] in ("/", "(", ".", "=")),
+        float(f.kind in KNOWN), float(f.kind == "assigned"), float(f.kind == "pem"), float(any(p in path.lower() for p in TEST_PATHS)), float("${" in s or "<" in s or "(" in s), float(any(p in low for p in PLACEHOLDERS)),
     ]
 
 
-def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, int]]:
+def dictionary(docs: DataFrame, most: int = DICTIONARY) -> frozenset[str]:
+    """The commonest words of all texts: counted in batches, then over all; `most` of them come to the driver."""
+    letter = np.zeros(256, bool)
+    letter[ord("a") : ord("z") + 1] = True
+    # part of a word, but no letter of the dictionary: digits, marks of keys, and all beyond ASCII
+    other = np.zeros(256, bool)
+    other[[ord(c) for c in "0123456789_+/=-"]] = other[128:] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            raw, _, _ = ragged(t.lower() + b" " for t in batch.column("text").to_pylist())
+            inside = letter[raw]
+            edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+            start, stop = edge[::2], edge[1::2]
+            joined = other[raw]
+            n = stop - start
+            ok = (n >= SHORTEST) & (n <= LONGEST) & ~joined[np.maximum(start - 1, 0)] & ~joined[np.minimum(stop, len(raw) - 1)] if len(n) else n > 0
+            start, n = start[ok], n[ok]
+            _, first, times = np.unique(RangeHash(raw, 31)(start, n), return_index=True, return_counts=True)
+            spelled = [raw[a : a + k].tobytes().decode() for a, k in zip(start[first].tolist(), n[first].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), pa.array(times, pa.int64())], ["word", "times"])
+
+    found = docs.select(text_of(docs).alias("text")).mapInArrow(run, "word string, times long").groupBy("word").agg(F.sum("times").alias("times")).filter(F.col("times") >= LEAST_TIMES)
+    return frozenset(r.word for r in found.orderBy(F.desc("times"), "word").limit(most).select("word").collect())
+
+
+def labelled(n: int = FINDINGS, seed: int = SEED, words: frozenset[str] = frozenset()) -> list[tuple[Finding, str, int]]:
     """Labelled findings by a seeded rule: half are credentials where such stand, half are what scans mistake for them."""
     r = random.Random(seed)
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
@@ -116,7 +159,13 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
     paths = ["src/app.py", "config/prod.env", "src7", "web", "lib/net.go", "tests/test_login.py", "docs/readme.md", "examples/a.py"]
     prose = ["is of the", "que la de", "and then", "zu der", "siehe", ""]
     syllables = ["tion", "er", "the", "ing", "and", "ment", "able", "ver", "con", "ad", "que"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+    known = sorted(words)
+    word = lambda: r.choice(known) if known and r.random() < 0.7 else "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+    formats = {
+        "aws": lambda: r.choice(["AKIA", "ASIA"]) + pick(upper + digits, 16), "github": lambda: "gh" + r.choice("pousr") + "_" + pick(every, 36), "stripe": lambda: r.choice("sr") + "k_live_" + pick(every, r.choice([24, 40, 99])),
+        "slack": lambda: "xox" + r.choice("abprs") + "-" + "-".join(pick(digits, r.randrange(9, 14)) for _ in range(r.randrange(1, 4))) + "-" + pick(r.choice([every, hexes]), r.choice([24, 32])),
+        "google": lambda: "AIza" + pick(every + "-_", 35), "jwt": lambda: "eyJ" + pick(every, r.randrange(15, 60)) + ".eyJ" + pick(every, r.randrange(20, 200)) + "." + pick(every + "-_", 43),
+    }
     out = []
     while len(out) < n:
         secret = len(out) % 2
@@ -124,7 +173,9 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
         if secret:
             which = r.randrange(9)
             if which == 0:
-                kind, s = r.choice([("aws", "AKIA" + pick(upper + digits, 16)), ("github", "ghp_" + pick(every, 36)), ("slack", "xoxb-" + pick(digits, 11) + "-" + pick(every, 24)), ("stripe", "sk_live_" + pick(every, 24)), ("google", "AIza" + pick(every + "-_", 35)), ("jwt", "eyJ" + pick(every, 30) + "." + pick(every, 60) + "." + pick(every + "-_", 43))])
+                kind = r.choice(sorted(formats))
+                s = formats[kind]()
+                lead = r.choice([lead, lead + r.choice(NAMES) + "=", lead + '"', "export KEY=", "https://x.org/?key=", ""])
             elif which == 1:
                 kind, s = "pem", "-----BEGIN RSA PRIVATE KEY-----\n" + r.choice(["", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{pick('0123456789ABCDEF', 32)}\n\n"]) + pick(every + "+/", r.randrange(60, 900)) + "\n-----END RSA PRIVATE KEY-----"
             elif which == 2:
@@ -148,7 +199,7 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
                 lead += r.choice(["", "my_", "db_", "client_"]) + r.choice([name, name.upper()]) + r.choice([" = ", "=", ": ", ":", " := ", '": ', '":', "': ", '"] = ', '" => ']) + r.choice(["", '"', "'"])
                 path = r.choice(paths[:5]) if r.random() < 0.9 else path
         else:
-            which = r.randrange(10)
+            which = r.randrange(11)
             if which == 0:
                 s, lead = pick(hexes, r.choice([32, 40, 64])), lead + r.choice(HARMLESS[:9]) + r.choice([" ", ": ", "=", ' = "'])
             elif which == 1:
@@ -175,11 +226,19 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, str, in
             elif which == 8:
                 s = pick(every + "+/", r.choice([43, 64, 86])) + "="
                 lead += r.choice(["integrity sha512-", "integrity sha256-", "checksum ", "etag ", "digest: ", "image "])
+            elif which == 9:
+                # known formats as documentation spells them
+                kind = r.choice(sorted(formats))
+                s = formats[kind]()
+                mark = r.choice(["EXAMPLE", "EXAMPLEKEY", "XXXXXXXX", "0000000000"])
+                s = s[:4] + "X" * (len(s) - 4) if r.random() < 0.3 else s[: len(s) - len(mark)] + mark
             else:
                 s = r.choice([pick("ab-=+_", 30) + "1", "a1" * r.randrange(10, 40), "=" * 20 + "v2" + "=" * 20, pick(digits, 25) + "x", "2024-01-01T00-00-00-000Z" + pick(digits, 3), pick(hexes, 40)])
                 if len(set(s)) > 8:
                     lead = r.choice(prose) + " "
-        out.append((Finding(0, len(s), s, lead, kind), path, secret))
+        close = lead[-1:] if lead[-1:] in ("'", '"') else ""
+        after = close + r.choice(["", "\n", " " + word() + " " + word(), ", ", ";\n", ") " + word(), ". " + word().title()])
+        out.append((Finding(0, len(s), s, lead, kind, after), path, secret))
     return out
 
 
@@ -235,15 +294,26 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(findings: list[tuple[Finding, str, int]]) -> Forest:
-    return Forest(np.array([features(f, p) for f, p, _ in findings]), np.array([y for _, _, y in findings], float))
+def train(findings: list[tuple[Finding, str, int]], words: frozenset[str] = frozenset()) -> Forest:
+    return Forest(np.array([features(f, p, words) for f, p, _ in findings]), np.array([y for _, _, y in findings], float))
+
+
+@dataclass
+class Model:
+    words: frozenset[str]
+    forest: Forest
+
+
+def fitted(docs: DataFrame, findings: list[tuple[Finding, str, int]] | None = None) -> Model:
+    words = dictionary(docs)
+    return Model(words, train(findings if findings is not None else labelled(words=words), words))
 
 
-def judged(forest: Forest, texts: list[str], paths: list[str]) -> list[list[tuple[Finding, float]]]:
+def judged(model: Model, texts: list[str], paths: list[str]) -> list[list[tuple[Finding, float]]]:
     """Each text's candidates with the share of trees' votes that they are secrets."""
     found = [candidates(t) for t in texts]
     flat = [(f, p) for x, p in zip(found, paths, strict=True) for f in x]
-    votes = iter(forest.predict(np.array([features(f, p) for f, p in flat])).tolist()) if flat else iter(())
+    votes = iter(model.forest.predict(np.array([features(f, p, model.words) for f, p in flat])).tolist()) if flat else iter(())
     return [[(f, next(votes)) for f in x] for x in found]
 
 
@@ -261,16 +331,15 @@ def without(text: str, secrets: list[Finding]) -> str:
 
 def scan(docs: DataFrame, findings: list[tuple[Finding, str, int]] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_candidates, n_secrets, spans (start:end of the secrets, in code points), redacted_sha256 and, if asked for, redacted: the text with [SECRET] for each."""
-    small_batches(docs.sparkSession, 500)
-    forest = train(findings if findings is not None else labelled())
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, findings))
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), path.alias("path"))
     schema = "doc_id long, n_candidates long, n_secrets long, spans string, redacted_sha256 string" + ", redacted string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, paths = (c.to_pylist() for c in batch.columns)
             out = []
             for doc_id, text, found in zip(ids, texts, judged(model, texts, paths), strict=True):
@@ -286,12 +355,12 @@ def scan(docs: DataFrame, findings: list[tuple[Finding, str, int]] | None = None
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, [SECRET] standing for each secret in `text`."""
-    small_batches(docs.sparkSession, 500)
-    shared = docs.sparkSession.sparkContext.broadcast(train(labelled()))
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             paths = batch.column("source").to_pylist() if "source" in batch.schema.names else [""] * len(texts)
             found = judged(shared.value, [t or "" for t in texts], [str(p or "") for p in paths])
