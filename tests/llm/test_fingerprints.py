@@ -1,5 +1,9 @@
 import hashlib
 import random
+import re
+import struct
+
+import xxhash
 
 from tracelith.llm import fingerprints
 from tracelith.llm.fingerprints import fingerprints as run
@@ -59,3 +63,45 @@ def test_a_shifted_passage_in_text_without_spaces(spark):
         rows = [(3, text), (2, text[:3] + "x" + text[3:]), (1, text[:3] + text[5:])]
         got = {x.doc_id: x for x in run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got[3].near_next > 0.7 and got[2].near_next > 0.7
+
+
+def murmur(value, size, seed):
+    """32-bit Murmur3 of an int of 4 or 8 bytes, signed."""
+    h, mask = seed & 0xFFFFFFFF, 0xFFFFFFFF
+    turn = lambda x, n: (x << n | x >> (32 - n)) & mask
+    for (k,) in struct.iter_unpack("<I", (value & (1 << 8 * size) - 1).to_bytes(size, "little")):
+        h = turn(h ^ turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64 & mask
+    h ^= size
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
+def brute(text):
+    """The fingerprint by plain Python, for texts of five tokens or more that choose an anchor."""
+    tokens = []
+    for run_ in re.findall(r"\S+", text):
+        tokens += [run_] if len(run_) <= 16 else [run_[i : i + 4] for i in range(len(run_))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(xxhash.xxh64(t.encode(), seed=42).intdigest()) for t in tokens]
+    long = lambda x, seed: xxhash.xxh64(struct.pack("<q", x), seed=seed & (1 << 64) - 1).intdigest()
+    pairs = [signed(long(b, long(a, 42))) for a, b in zip(h, h[1:], strict=False)]
+    at = [i for i in range(len(h) - 4) if min(pairs[i], pairs[i + 3]) <= min(pairs[i + 1], pairs[i + 2])]
+    gaps = [b - a for a, b in zip(at, at[1:], strict=False)] + [0]
+    return "".join(f"{murmur(g, 4, murmur(h[i + 4], 8, murmur(pairs[i + 2], 8, murmur(pairs[i], 8, 42)))):08x}" for i, g in zip(at, gaps, strict=True))
+
+
+def test_anchors_against_plain_python(spark):
+    r = random.Random(11)
+    rows = [(i, "".join(r.choice(["ab", "é", " ", "xyz", " ", "\n", "q", "日本語", "long" * 5]) for _ in range(r.choice([60, 200, 5000])))) for i in range(30)]
+    got = {x.doc_id: x.fingerprint for x in run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == brute(t) for i, t in rows)
+
+
+def test_one_inserted_character_and_long_texts(spark):
+    r = random.Random(12)
+    plain = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))
+    prose = " ".join(f"w{r.randrange(5000)}" for _ in range(20_000))
+    rows = [(4, plain), (3, "x" + plain), (2, prose), (1, prose[:50_000] + "Z" + prose[50_000:])]
+    got = {x.doc_id: x for x in run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4].near_next > 0.9 and got[3].near_next < 0.05 and 0.999 < got[2].near_next < 1

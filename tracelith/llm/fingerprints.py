@@ -1,12 +1,13 @@
 """Document fingerprints by closed syncmers, in DataFrame functions alone.
 
 A text is a sequence of tokens: runs of non-space characters, and in place of a long run the few
-characters from each of its places on, so that a character more or less changes the tokens around it alone. A stretch of K tokens is chosen where the least of its inner pairs of tokens is its first or
+characters from each of its places on, so that a character more or less changes the tokens around it
+alone. A stretch of K tokens is chosen where the least of its inner pairs of tokens is its first or
 its last pair. That depends on nothing outside the stretch, so equal passages choose equal anchors
-wherever they stand. The fingerprint is the sorted list of the SKETCH least hashes among the distinct
-chosen stretches; it holds all of them where there are no more. Likeness is the share of common ones
-among the least SKETCH of both lists together: the exact Jaccard index for short texts, its unbiased
-estimate for long ones.
+wherever they stand. The fingerprint lists every anchor of the whole text in its order, each as one
+hash of the stretch and of its distance in tokens to the next anchor: an anchor matches where the
+stretch and its position beside the next one agree. Likeness is the share of common ones among the
+distinct anchors of both texts, their Jaccard index, with no sketch or cap for long texts.
 
 Texts with too few tokens, or no chosen stretch, have one anchor, the hash of all tokens. Null, empty
 and blank texts have an empty fingerprint, alike (1.0) to another empty one and unlike (0.0) any other.
@@ -26,7 +27,6 @@ from tracelith.llm.run import documents
 #: Group 1: a whole run of at most 16 characters, or up to four characters from each place of a longer one.
 TOKEN = r"(?=((?<!\S)\S{1,16}(?!\S)|\S{1,4}))(?:(?<!\S)\S{1,16}(?!\S)|\S)"
 K = 5
-SKETCH = 128
 ROWS_IN_RANGE, MOST_RANGES = 2000, 8192
 
 
@@ -36,7 +36,7 @@ def let(value: Column, body) -> Column:
 
 
 def syncmers(text: Column) -> Column:
-    """Hashes of the chosen stretches in order of the text, as ints."""
+    """The anchors in order of the text, as ints."""
     hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.xxhash64(t))
     whole = lambda h: F.array(F.hash(h))
 
@@ -45,7 +45,8 @@ def syncmers(text: Column) -> Column:
 
         def pick(p: Column) -> Column:
             edge = lambda i: F.least(p[i], p[i + (K - 2)]) <= F.least(*(p[i + j] for j in range(1, K - 2)))
-            return F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - K), edge), lambda i: F.hash(p[i], p[i + 2], h[i + 4]))
+            gap = lambda at, i, j: F.coalesce(F.get(at, j + 1) - i, F.lit(0))
+            return let(F.filter(F.sequence(F.lit(0), F.size(h) - K), edge), lambda at: F.transform(at, lambda i, j: F.hash(p[i], p[i + 2], h[i + 4], gap(at, i, j))))
 
         return let(pairs, pick)
 
@@ -53,18 +54,14 @@ def syncmers(text: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= K, some(h)).when(F.size(h) > 0, whole(h)).otherwise(F.array().cast("array<int>")))
 
 
-def sketch(text: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(syncmers(text))), 1, SKETCH)
-
-
 def likeness(a: Column, b: Column) -> Column:
-    """Of two sketches, from 0 to 1."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least))
+    """Of two fingerprints, from 0 to 1."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(common / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - common))
 
 
 def written(a: Column) -> Column:
-    """A sketch as a string: eight hex digits for each hash."""
+    """A fingerprint as a string: eight hex digits for each hash."""
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
@@ -102,9 +99,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     led = in_ranges(rows).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next", F.lit(1), half))
-    led = led.select("range", "guest", "doc_id", "h1", "h2", "n_chars", sketch(F.col("text")).alias("own"), F.when(F.col("guest"), F.lit("")).otherwise(edited).alias("edited"))
+    led = led.select("range", "guest", "doc_id", "h1", "h2", "n_chars", syncmers(F.col("text")).alias("own"), F.when(F.col("guest"), F.lit("")).otherwise(edited).alias("edited"))
     led = led.withColumn("next", F.lead("own").over(order)).filter(~F.col("guest"))
-    led = led.withColumn("changed", sketch(F.col("edited")))
+    led = led.withColumn("changed", syncmers(F.col("edited")))
     return led.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), "edited",
