@@ -65,3 +65,26 @@ def test_null_and_shared_ids_stay(spark, tmp_path):
     out = corpus_pipeline.drop_substrings(spark, kept, "").collect()
     assert sorted((repr(x.doc_id) for x in out)) == sorted(repr(i) for i, _ in got)
     assert sum(passage in (x.text or "") for x in out) == 1 and sum(x.text in (a, b, d, rows[10][1], "") for x in out) == 6
+
+
+def test_clashing_columns_maps_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    text = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    a, b = text(60), text(60)
+    rows = [(1, a, {"k": 1}), (2, a, {"k": 2}), (None, b, None), (3, b + " " + text(40), {}), (3, "short", {"k": 3}), (4, None, None)]
+    schema = "doc_id long, text string, m map<string,int>"
+    extra = {"n_removed": F.lit(1), "kept_sha256": F.lit("x"), "kept_text": F.lit("y"), "row": F.lit(2), "_key": F.lit(3), "key": F.lit(4), "h": F.lit(5), "spans": F.lit("s"), "component_id": F.lit(6), "score": F.lit(0.1), "id": F.lit(7), "n_secrets": F.lit(8), "redacted": F.lit("r"), "a.b": F.lit(9)}
+    docs = spark.createDataFrame(rows, schema).withColumns(extra)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.mode("overwrite").parquet("/tmp/tracelith-labels/labels.parquet")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_substrings, corpus_pipeline.redact_secrets):
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, "/tmp/tracelith-labels")
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(x["a.b"] == 9 and x["row"] == 2 and x["h"] == 5 for x in got)
+            assert len(got) == (0 if given is not docs else 5 if stage is corpus_pipeline.drop_near_duplicates else 6)
+    packed = corpus_pipeline.pack(spark, docs, "")
+    assert {x.doc_id for x in packed.collect()} == {1, 2, 3, 4, None} and corpus_pipeline.pack(spark, docs.limit(0), "").count() == 0
