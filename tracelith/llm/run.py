@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelith.llm.arrays import CHUNK_BYTES
 from tracelith.sources.scratch import Scratch
 
-__all__ = ["Scratch", "documents", "keyed", "slices", "small_batches", "table", "text_of"]
+__all__ = ["Scratch", "documents", "keyed", "mapped", "slices", "small_batches", "table", "text_of"]
 
 BATCH_BYTES = 8 << 20
 
@@ -62,3 +62,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(int(a), int(b - a))
+
+
+def mapped(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) with the columns of docs, whatever their names: Spark's own takes none with dots."""
+    names, plain = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*plain)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(plain)
+
+    return rows.mapInArrow(inner, rows.schema).toDF(*names)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelith.llm.arrays import RangeHash, ragged
-from tracelith.llm.run import slices, small_batches, text_of
+from tracelith.llm.run import mapped, slices, small_batches, text_of
 
 FINDINGS, TREES, DEPTH, LEAST_LEAF, SEED = 4000, 40, 12, 3, 10
 BEFORE, AFTER = 48, 32
@@ -367,4 +367,4 @@ def redact(docs: DataFrame) -> DataFrame:
             clean = [t if t is None else without(t, secrets_of(x)) for t, x in zip(texts, found, strict=True)]
             yield batch.set_column(at, "text", pa.array(clean, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelith.llm.arrays import RangeHash, gather, mix, ragged, word_ranges
-from tracelith.llm.run import documents, slices, small_batches
+from tracelith.llm.run import documents, mapped, slices, small_batches
 
 WINDOW, STRIDE = 16, 1
 TOXIC, CLEAN = 700, 1600
@@ -378,7 +378,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = shared.value.scores(read([(t or "").encode() for t in batch.column("text").to_pylist()])) < 0.5 if shared.value else np.ones(batch.num_rows, bool)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
