@@ -230,7 +230,10 @@ def clusters(matrix: DataFrame, tokens: list[str], k: int = 4, dims: int = 2, se
     """question_id, cluster: standardised columns, principal components, k-means.
 
     It stands where the toolkit embeds and clusters by density; its clusters aren't comparable to those.
+    The fits read a written matrix: none of them makes it anew, and k-means, which reads on after the last row,
+    fails on rows that a sorted join makes.
     """
+    matrix = Scratch(matrix.sparkSession).write(matrix.sortWithinPartitions("question_id"), "matrix")
     rows = VectorAssembler(inputCols=tokens, outputCol="raw").transform(matrix)
     rows = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(rows).transform(rows)
     rows = PCA(k=min(dims, len(tokens)), inputCol="scaled", outputCol="pca").fit(rows).transform(rows)
