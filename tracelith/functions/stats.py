@@ -16,6 +16,14 @@ def support(count: Column, total: Column) -> Column:
     return F.when(total > 0, count / total).otherwise(F.lit(0.0))
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """A number as text with so many decimals, rounded by its exact value and ties to even, as printf does in C and SQL.
+
+    format_string rounds the shortest decimal that stands for the number, and its ties up.
+    """
+    return F.call_function("format_number", F.col(x) if isinstance(x, str) else x, F.lit("0." + "0" * digits))
+
+
 def lift(a: Column, b: Column) -> Column:
     return a / (b + EPSILON)
 

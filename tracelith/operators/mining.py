@@ -173,7 +173,7 @@ def ranked(table: DataFrame, k: int = 100) -> DataFrame:
 def v1_motifs(traces: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     """Support, class shares as six-digit strings, enrichments and the dominant label of contiguous motifs."""
     c, i = F.col("success_count"), F.col("failure_count")
-    six = lambda x: F.format_string("%.6f", x)
+    six = lambda x: stats.fixed(x, 6)
     rows = class_counts(facts(traces, ngrams(F.col("tokens"), low, high), "is_correct"), "motif")
     return rows.select(
         "motif", F.array_join("motif", " -> ").alias("motif_pretty"), F.size("motif").alias("length"), (c + i).alias("support_total"), c.alias("support_correct"), i.alias("support_incorrect"),
@@ -208,13 +208,13 @@ def critical_steps(traces: DataFrame, index: DataFrame, low: int, high: int, k:
     hits = traces.select("trace_id", F.explode(ngrams(F.col("tokens"), low, high)).alias("motif")).join(index, "motif")
     per = hits.groupBy("trace_id", "motif").agg(F.count(F.lit(1)).alias("times"), F.sum("success_signal").alias("success"), F.sum("failure_signal").alias("failure"), F.first("p_correct").alias("p_correct"), F.first("p_incorrect").alias("p_incorrect"))
     steps = per.select("trace_id", "success", "failure", F.explode("motif").alias("step")).groupBy("trace_id", "step").agg(F.sum("success").alias("success"), F.sum("failure").alias("failure"))
-    label = lambda c: F.format_string("%s (count=%d, score=%.3f, p_success=%.3f, p_fail=%.3f)", name("motif"), F.col("times"), F.col(c), F.col("p_correct"), F.col("p_incorrect"))
+    label = lambda c: F.format_string("%s (count=%d, score=%s, p_success=%s, p_fail=%s)", name("motif"), F.col("times"), *(stats.fixed(x, 3) for x in (c, "p_correct", "p_incorrect")))
     best = lambda items: F.array_join(F.transform(F.slice(F.array_sort(items), 1, k), lambda x: x["text"]), " || ")
     motifs = per.groupBy("trace_id").agg(
         F.sum("success").alias("success_signal"), F.sum("failure").alias("failure_signal"),
         *(best(F.collect_list(F.when(F.col(c) > 0, F.struct((-F.round(c, 9)).alias("a"), (-F.col("times")).alias("b"), (-F.size("motif")).alias("c"), name("motif").alias("d"), label(c).alias("text"))))).alias(f"top_{c}_motifs") for c in ("success", "failure")),
     )
-    tops = steps.groupBy("trace_id").agg(*(best(F.collect_list(F.when(F.col(c) > 0, F.struct((-F.round(c, 9)).alias("a"), F.col("step").alias("b"), F.format_string("%s (%.3f)", "step", F.col(c)).alias("text"))))).alias(f"top_{c}_steps") for c in ("success", "failure")))
+    tops = steps.groupBy("trace_id").agg(*(best(F.collect_list(F.when(F.col(c) > 0, F.struct((-F.round(c, 9)).alias("a"), F.col("step").alias("b"), F.format_string("%s (%s)", "step", stats.fixed(c, 3)).alias("text"))))).alias(f"top_{c}_steps") for c in ("success", "failure")))
     out = traces.select("trace_id", "is_correct").join(motifs, "trace_id", "left").join(tops, "trace_id", "left")
     out = out.fillna(0.0, ["success_signal", "failure_signal"]).fillna("")
     return out.withColumn("net_signal", F.col("success_signal") - F.col("failure_signal"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelith.functions import stats
 from tracelith.operators import evaluate
 
 SIGNALS = ("success_signal", "failure_signal", "net_signal", "trace_length", "success_to_failure_ratio", "log_success_to_failure_ratio")
@@ -44,7 +45,7 @@ def success_scores(traces: DataFrame, known: DataFrame) -> DataFrame:
         return traces.withColumn("raw_score", F.lit(0.0)).withColumn("p_success", F.lit(0.5)).withColumn("predicted", F.lit(True)).withColumn("signal_contributions", F.lit(""))
     out = traces.withColumn("_parts", F.array(*parts)).withColumn("raw_score", F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x["part"]))
     p = 1 / (1 + F.exp(-F.col("raw_score")))
-    text = F.array_join(F.transform("_parts", lambda x: F.format_string("%s:%.3f", x["signal"], x["part"])), " || ")
+    text = F.array_join(F.transform("_parts", lambda x: F.format_string("%s:%s", x["signal"], stats.fixed(x["part"], 3))), " || ")
     return out.withColumn("p_success", p).withColumn("predicted", p >= 0.5).withColumn("signal_contributions", text).drop("_parts")
 
 

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelith.functions import stats
 from tracelith.functions.tokens import ngrams
 from tracelith.operators import cards, mining
 from tracelith.operators.corpus import answer_distribution
@@ -128,7 +129,7 @@ class Service:
 
 def write_csv(df: DataFrame, path: str, six: tuple[str, ...] = ()) -> None:
     """A CSV folder with a header, also where there are no rows; arrays joined by bars, `six` with six decimals."""
-    flat = [F.array_join(c, "|").alias(c) if t.startswith("array") else F.format_string("%.6f", c).alias(c) if c in six else F.col(c) for c, t in df.dtypes]
+    flat = [F.array_join(c, "|").alias(c) if t.startswith("array") else F.format_string("%s", stats.fixed(c, 6)).alias(c) if c in six else F.col(c) for c, t in df.dtypes]
     out = df.select(*flat)
     if out.isEmpty():
         out = out.sparkSession.createDataFrame([], out.schema).coalesce(1)
