@@ -31,7 +31,8 @@ LAST_LINES, SHORT_ANSWER = 8, 80
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    # only from a run's start: else each place of a run inside the text looks through the rest of it
+    return F.regexp_replace(x, r"^\s+|(?<!\s)\s+$", "")
 
 
 def nonempty(x: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,32 +22,41 @@ LONG_TEXT = 120
 
 def is_noise(text: Column) -> Column:
     """Blank, with a mark of corrupted spans, or long with more symbols than letters and digits."""
-    clean = trimmed(text)
-    low = F.lower(clean)
-    marked = F.greatest(*(low.contains(m) for m in NOISE_MARKS))
-    letters = F.length(F.regexp_replace(clean, r"(?U)[^\p{L}\p{N}]", ""))
-    symbols = F.length(F.regexp_replace(clean, r"(?U)[\p{L}\p{N}\s]", ""))
+    return let(trimmed(text), is_noise_trimmed)
+
+
+def is_noise_trimmed(clean: Column) -> Column:
+    """is_noise of a text without white space around it. It is looked at once: inside a lambda nothing else is shared."""
+    marked = let(F.lower(clean), lambda low: reduce(or_, (low.contains(m) for m in NOISE_MARKS)))
+    letters = F.length(F.regexp_replace(clean, r"(?U)[^\p{L}\p{N}]+", ""))
+    symbols = F.length(F.regexp_replace(clean, r"(?U)[\p{L}\p{N}\s]+", ""))
     return (clean == "") | marked | ((F.length(clean) >= LONG_TEXT) & (symbols > letters))
 
 
 def chunk_trace(trace: Column) -> Column:
     """Array of (text_span, span_type): paragraphs, neighbours of one type joined by a line break."""
-    clean = trimmed(trace)
+    return let(trimmed(trace), chunks_of_trimmed)
+
+
+def chunks_of_trimmed(clean: Column) -> Column:
     spans = F.filter(F.transform(F.split(clean, r"\n\s*\n+"), trimmed), lambda x: x != "")
-    typed = F.transform(spans, lambda x: F.struct(x.alias("text_span"), F.when(is_noise(x), "noise").otherwise("reasoning").alias("span_type")))
+    typed = F.transform(spans, lambda x: F.struct(x.alias("text_span"), F.when(is_noise_trimmed(x), "noise").otherwise("reasoning").alias("span_type")))
     empty = F.array(F.struct(F.lit("EMPTY_TRACE").alias("text_span"), F.lit("noise").alias("span_type")))
-    return F.when(clean == "", empty).otherwise(merged(typed))
+    return F.when(clean == "", empty).otherwise(let(typed, merged))
 
 
 def merged(chunks: Column) -> Column:
-    none = F.filter(chunks, lambda _: F.lit(False))
+    """Neighbours of one type as one: what stands from each change of type to the next, joined once."""
+    changes = F.filter(F.transform(chunks, lambda c, i: F.when((i == 0) | (c["span_type"] != F.get(chunks, i - 1)["span_type"]), i)), lambda i: i.isNotNull())
+
+    def joined(starts: Column) -> Column:
+        def one(start: Column, j: Column) -> Column:
+            part = F.slice(chunks, start + 1, F.coalesce(F.get(starts, j + 1), F.size(chunks)) - start)
+            return F.struct(F.array_join(F.transform(part, lambda c: c["text_span"]), "\n").alias("text_span"), F.get(chunks, start)["span_type"].alias("span_type"))
 
-    def add(out: Column, c: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.struct(F.concat(last["text_span"], F.lit("\n"), c["text_span"]).alias("text_span"), c["span_type"].alias("span_type"))
-        return F.when(last["span_type"] == c["span_type"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(c)))
+        return F.transform(starts, one)
 
-    return F.aggregate(chunks, none, add)
+    return let(changes, joined)
 
 
 def chunk_tokens(chunks: Column) -> Column:
