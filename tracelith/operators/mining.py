@@ -203,20 +203,26 @@ def motif_index(stats_v1: DataFrame, least: int = 5) -> DataFrame:
     return stats_v1.filter(F.col("support_total") >= least).select("motif", "support_total", F.col("p_correct").cast("double").alias("p_correct"), F.col("p_incorrect").cast("double").alias("p_incorrect"), signal("enrichment_correct").alias("success_signal"), signal("enrichment_incorrect").alias("failure_signal"))
 
 
-def critical_steps(traces: DataFrame, index: DataFrame, low: int, high: int, k: int = 5) -> DataFrame:
-    """Each trace's signals and its strongest motifs and steps, by all places of indexed motifs in it."""
+def critical_steps(traces: DataFrame, index: DataFrame, low: int, high: int, k: int = 5, strings: bool = True) -> DataFrame:
+    """Each trace's signals and, with `strings`, its strongest motifs and steps, by all places of indexed motifs in it."""
     hits = traces.select("trace_id", F.explode(ngrams(F.col("tokens"), low, high)).alias("motif")).join(index, "motif")
     per = hits.groupBy("trace_id", "motif").agg(F.count(F.lit(1)).alias("times"), F.sum("success_signal").alias("success"), F.sum("failure_signal").alias("failure"), F.first("p_correct").alias("p_correct"), F.first("p_incorrect").alias("p_incorrect"))
+    # in order, so that traces with the same motifs have the same signals, which thresholds tell apart to the last bit
+    added = [F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x).alias(f"{c}_signal") for c in ("success", "failure")]
+    net = F.col("success_signal") - F.col("failure_signal")
+    if not strings:
+        sums = per.groupBy("trace_id").agg(*added)
+        return traces.select("trace_id", "is_correct").join(sums, "trace_id", "left").fillna(0.0, ["success_signal", "failure_signal"]).withColumn("net_signal", net)
     steps = per.select("trace_id", "success", "failure", F.explode("motif").alias("step")).groupBy("trace_id", "step").agg(F.sum("success").alias("success"), F.sum("failure").alias("failure"))
     label = lambda c: F.format_string("%s (count=%d, score=%s, p_success=%s, p_fail=%s)", name("motif"), F.col("times"), *(stats.fixed(x, 3) for x in (c, "p_correct", "p_incorrect")))
     best = lambda items: F.array_join(F.transform(F.slice(F.array_sort(items), 1, k), lambda x: x["text"]), " || ")
     motifs = per.groupBy("trace_id").agg(
-        F.sum("success").alias("success_signal"), F.sum("failure").alias("failure_signal"),
+        *added,
         *(best(F.collect_list(F.when(F.col(c) > 0, F.struct((-F.round(c, 9)).alias("a"), (-F.col("times")).alias("b"), (-F.size("motif")).alias("c"), name("motif").alias("d"), label(c).alias("text"))))).alias(f"top_{c}_motifs") for c in ("success", "failure")),
     )
     tops = steps.groupBy("trace_id").agg(*(best(F.collect_list(F.when(F.col(c) > 0, F.struct((-F.round(c, 9)).alias("a"), F.col("step").alias("b"), F.format_string("%s (%s)", "step", stats.fixed(c, 3)).alias("text"))))).alias(f"top_{c}_steps") for c in ("success", "failure")))
     out = traces.select("trace_id", "is_correct").join(motifs, "trace_id", "left").join(tops, "trace_id", "left")
     out = out.fillna(0.0, ["success_signal", "failure_signal"]).fillna("")
-    return out.withColumn("net_signal", F.col("success_signal") - F.col("failure_signal"))
+    return out.withColumn("net_signal", net)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelith.functions import stats
 from tracelith.operators import evaluate
+from tracelith.sources.scratch import Scratch
 
 SIGNALS = ("success_signal", "failure_signal", "net_signal", "trace_length", "success_to_failure_ratio", "log_success_to_failure_ratio")
 SMALL = 1e-9
@@ -22,7 +23,11 @@ def signal_columns(traces: DataFrame) -> DataFrame:
 
 
 def metrics(traces: DataFrame, signals: tuple[str, ...] = SIGNALS, label: str = "is_correct") -> DataFrame:
-    """signal, place (strongest first), pearson_with_correct, mean_correct, mean_incorrect, best_threshold, best_threshold_accuracy."""
+    """signal, place (strongest first), pearson_with_correct, mean_correct, mean_incorrect, best_threshold, best_threshold_accuracy.
+
+    Signals and label are written once: the thresholds read them many times, and must not make the traces anew.
+    """
+    traces = Scratch(traces.sparkSession).write(traces.select(*dict.fromkeys([*signals, label])), "signals")
     report = evaluate.signal_report(traces, list(signals), label)
     best = reduce(DataFrame.unionByName, (evaluate.best_threshold(traces, s, label).select(F.lit(s).alias("signal"), F.col("value").alias("best_threshold"), F.col("accuracy").alias("best_threshold_accuracy")) for s in signals))
     return report.join(best, "signal").select("signal", F.col("rank").alias("place"), F.col("pearson").alias("pearson_with_correct"), F.col("mean_success").alias("mean_correct"), F.col("mean_failure").alias("mean_incorrect"), "best_threshold", "best_threshold_accuracy")

@@ -12,6 +12,7 @@ from tracelith.functions.tokens import base_types, compressed
 from tracelith.operators import cards, corpus, evaluate, mining, models, resample, signals as signal, summaries, within
 from tracelith.plans import export
 from tracelith.sources import tables
+from tracelith.sources.scratch import Scratch
 from tracelith.sources.traces import event_traces, order_traces, table
 from tracelith.streaming import collect, status
 
@@ -183,7 +184,7 @@ h AS (SELECT trace_id, sum(up) AS up, sum(down) AS down FROM o JOIN x USING (mot
 SELECT trace_id, is_correct, {r8("coalesce(up, 0)", "success_signal")}, {r8("coalesce(down, 0)", "failure_signal")}, {r8("coalesce(up, 0) - coalesce(down, 0)", "net_signal")} FROM t LEFT JOIN h USING (trace_id)""")
 def critical_steps(spark, d):
     t = event_traces(spark, d)
-    out = mining.critical_steps(t, mining.motif_index(mining.v1_motifs(t)), 2, 4)
+    out = mining.critical_steps(t, mining.motif_index(mining.v1_motifs(t)), 2, 4, strings=False)
     return rounded(out.select("trace_id", "is_correct", "success_signal", "failure_signal", "net_signal"))
 
 
@@ -763,8 +764,8 @@ def prediction_summary(spark, d):
 @query("signal_metrics")
 def signal_metrics(spark, d):
     """Six signals of critical steps with their best thresholds; parts of it have SQL (signal_report, best_threshold)."""
-    t = event_traces(spark, d)
-    return rounded(signal.metrics(signal.signal_columns(mining.critical_steps(t, mining.motif_index(mining.v1_motifs(t)), 2, 4).join(t.select("trace_id", "tokens"), "trace_id"))))
+    t = Scratch(spark).write(event_traces(spark, d).select("trace_id", "tokens", "is_correct"), "traces")
+    return rounded(signal.metrics(signal.signal_columns(mining.critical_steps(t, mining.motif_index(mining.v1_motifs(t)), 2, 4, strings=False).join(t.select("trace_id", "tokens"), "trace_id"))))
 
 
 @query("normalized_benchmark", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS question_id, trim(text) AS question, CAST(item_id % 7 AS VARCHAR) AS answer, 'b' AS source_dataset, CAST(item_id AS VARCHAR) AS source_id, 'easy' AS level FROM benchmark WHERE item_id % 7 <> 3 AND trim(text) <> ''")
